@@ -54,6 +54,24 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_report
+
+    return fingerprint_report(_docs(spark, sf_dir))
+
+
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), width=4, percent=80)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_report
+
+    return language_report(_docs(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import importance_resample
 
@@ -64,7 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_mix, op4_lines, op10_quality)}
+    return {f.__name__: f for f in (op1_pack, op2_mix, op4_lines, op6_fingerprint, op7_near, op8_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
