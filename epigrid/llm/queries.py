@@ -72,6 +72,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_docs(spark, sf_dir))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    cut = remove_repeats(_docs(spark, sf_dir), width=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import importance_resample
 
@@ -82,7 +89,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_mix, op4_lines, op6_fingerprint, op7_near, op8_language, op10_quality)}
+    return {f.__name__: f for f in (op1_pack, op2_mix, op4_lines, op6_fingerprint, op7_near, op8_language, op9_repeats, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
