@@ -25,6 +25,13 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_docs(spark, sf_dir), weights=(5, 2, 1), share=1.5, repeats=2)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_edited, sample_edits
+    from .tokens import default_vocabulary
+
+    return count_edited(_docs(spark, sf_dir).withColumn("edits", sample_edits(F.col("text"))), default_vocabulary())
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_boilerplate
 
@@ -54,6 +61,24 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming_search import nearest_codes, sign_codes
+
+    codes = sign_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    found = nearest_codes(codes, codes.where(F.col("id") % 50 == 0), k=10)
+    return found.select(F.col("query_id").alias("query_vec_id"), F.col("rank").alias("place"), F.col("id").alias("vec_id"), "distance")
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT q.vec_id AS query_vec_id, e.vec_id,
+    list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END))::INTEGER AS distance
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_vec_id, row_number() OVER (PARTITION BY query_vec_id ORDER BY distance, vec_id)::INTEGER AS place, vec_id, distance
+FROM d QUALIFY place <= 10
+"""
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_report
 
@@ -89,8 +114,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_mix, op4_lines, op6_fingerprint, op7_near, op8_language, op9_repeats, op10_quality)}
+    return {f.__name__: f for f in (op1_pack, op2_mix, op3_token_counts, op4_lines, op5_search, op6_fingerprint, op7_near, op8_language, op9_repeats, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": OP4_SQL}
+    return {"op4_lines": OP4_SQL, "op5_search": OP5_SQL}
