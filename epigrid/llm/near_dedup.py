@@ -159,6 +159,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(confirm, "a long, b long")
 
 
+#: Bits of the filter on the documents whose sets are needed: 4 MB, however many they are.
+SLOTS = 1 << 25
+
+
+def _slot(column):
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS))
+
+
+def _marked(ids: DataFrame) -> bytes:
+    """A bit a slot: whether an id falls there. So most texts without candidates are left
+    out before any shuffle; a wrong bit only lets a text in that the join drops."""
+    at = ids.select((_slot("id") + 1).alias("s"))
+    rows = at.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    out = bytearray(SLOTS // 8)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
+    return bytes(out)
+
+
 def connected_components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     """(id, component): the smallest id that each id of links (a, b) reaches.
 
@@ -206,17 +225,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest:
         reps = whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
         candidates = _candidates(ws, ws.table(reps, "reps"), forest, percent)
         sides = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
+        marks = spark.sparkContext.broadcast(_marked(sides))
+        slotted = docs.select("doc_id", "text", _slot("doc_id").alias("slot"))
 
         def pack(batches):
             import pyarrow as pa
 
+            bits = np.frombuffer(marks.value, np.uint8)
             for batch in batches:
-                sets = [packed(s) for s in shingle_sets(as_bytes(batch.column(1)), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                slot = np.asarray(batch.column(2).fill_null(0), dtype=np.int64)
+                some = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+                sets = [packed(s) for s in shingle_sets(as_bytes(some.column(1)), width)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-        texts = docs.join(sides, docs["doc_id"] == sides["id"]).select("doc_id", "text")
-        sets = texts.mapInArrow(pack, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
-        sets = ws.table(sets, "sets")
+        sets = slotted.mapInArrow(pack, "id long, shingles binary").join(sides, "id", "left_semi")
+        sets = ws.table(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
         ends = candidates.select("a", "b", "trees", F.explode(F.array("a", "b")).alias("end"))
         place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("trees"), "a", "b"))
         strong = ends.withColumn("k", place).where(F.col("k") <= strongest).select("a", "b").distinct()
