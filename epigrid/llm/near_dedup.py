@@ -253,10 +253,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest:
         names = ws.table(reps.select("set_key", "rep").join(part, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component")), "names")
         out = signed.join(names, "set_key", "left")
         component = F.coalesce("component", "doc_id")
-        return ws.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+        return ws.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+
+
+#: So many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that a smaller doc_id of their component stands for."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = Workspace(docs.sparkSession, "gone").result(gone)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
