@@ -23,11 +23,11 @@ def bilinear(points: DataFrame, values: DataFrame, grid: Grid, keys: list[str],
     column, row = (F.col(x) - grid.xmin) / grid.width - 0.5, (grid.ymax - F.col(y)) / grid.height - 0.5
     c0, r0 = F.floor(column), F.floor(row)
     corner = lambda dr, dc: F.struct((r0 + dr).alias("r"), (c0 + dc).alias("c"), ((1 - F.abs(row - r0 - dr)) * (1 - F.abs(column - c0 - dc))).alias("w"))
-    four = points.select(*keys, *[b for b in by if b not in keys], F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))).alias("k")).where("k.w > 0")
-    inside = F.col("k.r").between(0, grid.rows - 1) & F.col("k.c").between(0, grid.cols - 1)
-    four = four.withColumn("cell_id", F.when(inside, F.col("k.r") * grid.cols + F.col("k.c") + 1).cast("long"))
+    four = points.select(*keys, *[b for b in by if b not in keys], F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))).alias("_k")).where("_k.w > 0")
+    inside = F.col("_k.r").between(0, grid.rows - 1) & F.col("_k.c").between(0, grid.cols - 1)
+    four = four.withColumn("cell_id", F.when(inside, F.col("_k.r") * grid.cols + F.col("_k.c") + 1).cast("long"))
     got = four.join(values.select(*by, "cell_id", clean("value").alias("_v")), [*by, "cell_id"], "left")
-    sums = got.groupBy(*keys, *[b for b in by if b not in keys]).agg(F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("_v") * F.col("k.w"))).alias(out))
+    sums = got.groupBy(*keys, *[b for b in by if b not in keys]).agg(F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("_v") * F.col("_k.w"))).alias(out))
     return points.join(sums, [*keys, *[b for b in by if b not in keys]], "left")
 
 

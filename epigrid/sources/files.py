@@ -46,8 +46,8 @@ def ascii_grid_header(spark: SparkSession, path: str) -> tuple[Grid, float]:
 def read_ascii_grids(spark: SparkSession, path: str) -> DataFrame:
     """(path, cell_id, value) of ASCII grids, a row a cell; missing values are null. Each
     file is one row until it is split, so grids may be many but each must fit a task."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
-    lines = text.select("path", F.split(F.trim("value"), r"\r?\n").alias("l"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    lines = text.select("path", F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n").alias("l"))
     missing = F.regexp_extract(F.element_at("l", 6), r"(?i)nodata_value\s+(\S+)", 1).cast("double")
     cells = F.split(F.trim(F.array_join(F.slice("l", 7, 1 << 30), " ")), r"\s+")
     out = lines.select("path", missing.alias("na"), F.posexplode(cells).alias("i", "v"))

@@ -63,5 +63,5 @@ def write_table(df: DataFrame, path: str) -> None:
 def write_weekly(df: DataFrame, path: str) -> DataFrame:
     """One partition a week; returns the manifest (epiyear, epiweek, files, rows)."""
     df.repartition("epiyear", "epiweek").write.mode("errorifexists").partitionBy("epiyear", "epiweek").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    return back.groupBy("epiyear", "epiweek").agg(F.count_distinct(F.input_file_name()).alias("files"), F.count(F.lit(1)).alias("rows"))
+    back = df.sparkSession.read.parquet(path).select("epiyear", "epiweek", F.col("_metadata.file_path").alias("_file"))
+    return back.groupBy("epiyear", "epiweek").agg(F.count_distinct("_file").alias("files"), F.count(F.lit(1)).alias("rows"))
