@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """What Python workers get at once, in bytes: texts are of any length, and a batch by
+    number of rows alone could outgrow a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 class Workspace:
     """Tables that cut lineage, written as Parquet in the shared folder.
 
@@ -33,6 +39,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def _path(self, path: str):
@@ -113,7 +120,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i mod 2**64 for i < n, kept between calls."""
     have = _POWERS.get("up", np.empty(0, np.uint64))
     if len(have) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 18)
         up, down = np.full(m, _BASE), np.full(m, _INVERSE)
         up[0] = down[0] = 1
         _POWERS["up"], _POWERS["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -148,7 +155,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     return h, np.searchsorted(start, at)
 
 
-def blocks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes together (a longer text alone)."""
     lo, size = 0, 0
     for i, t in enumerate(texts):

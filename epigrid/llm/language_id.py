@@ -12,10 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bounded_batches
 
 UNDETERMINED = "und"
 WINDOW = 48
+ROWS = 500  # texts whose words are looked up at once
 
 
 def _sigmoid(x):
@@ -182,7 +183,7 @@ def identify_languages(docs: DataFrame, names: list[str], model: ByteGRU | None,
         import pyarrow as pa
 
         vocabulary, table = Words(), np.empty((0, len(names) + 1))
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             column = batch.column(batch.schema.get_field_index("text")).to_pylist()
             pred, score = np.full(len(column), len(names)), np.zeros(len(column))
             ids, owner = [], []
@@ -204,6 +205,7 @@ def identify_languages(docs: DataFrame, names: list[str], model: ByteGRU | None,
             names_out = [*batch.schema.names, "lang_pred", "score"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names_array[pred], pa.string()), pa.array(np.clip(score, 0, 1))], names=names_out)
 
+    bounded_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(predict, f"{schema}, lang_pred string, score double")

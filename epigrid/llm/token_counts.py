@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import PRE_TOKEN, encoding
 
 _PRE_TOKEN = regex.compile(PRE_TOKEN)
@@ -148,6 +149,7 @@ def count_edited(docs: DataFrame, vocabulary: str) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_tokens", "n_pieces", "n_tokens_edited", "n_reencoded"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", "edits").mapInArrow(count, f"doc_id {kind}, n_tokens long, n_pieces long, n_tokens_edited long, n_reencoded long")
 
