@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, places, text, timeidx
-from ..operators import cleaning, gates, geometry, grid, hosts, mesh, metrics, persistence, predictor, responses, sets, tiers
+from ..operators import cleaning, gates, geometry, grid, hosts, mesh, metrics, persistence, predictor, reporting, responses, sets, tiers
 from ..sources import files
+from . import surveillance
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -735,5 +736,42 @@ def simulate_points(spark, sf_dir):
     return tiers.simulate_points(density, 20, 3)
 
 
+@query("WITH s AS (SELECT l_returnflag, l_quantity - 25 AS v FROM lineitem) SELECT l_returnflag, count(*) AS rows, count(v) AS finite, count(*) FILTER (v = 0) AS zeros, round(count(*) FILTER (v = 0) / count(v), 6) AS zero_share, min(v) AS min, round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS median, round(avg(v), 6) AS mean, max(v) AS max FROM s GROUP BY 1")
+def distribution_audit(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("v", F.col("l_quantity") - 25)
+    return rounded(reporting.distribution_audit(li, "v", ["l_returnflag"]), "zero_share", "p01", "p05", "p10", "median", "mean")
+
+
+@query("WITH s AS (SELECT user_id % 4 AS c, (user_id * 53 % 103) / 10.0::DOUBLE AS lat FROM events) SELECT count(*) AS cells, round(quantile_cont(lat, 0.5), 6) AS median, round(quantile_cont(lat, 0.95), 6) AS q95, max(lat) AS max, count(*) FILTER (lat > 4) AS north_of_4, count(*) FILTER (lat > 8) AS north_of_8 FROM s WHERE c = 3")
+def class_front(spark, sf_dir):
+    e = weekly_events(spark, sf_dir).withColumn("rpi_class", F.col("user_id") % 4)
+    return rounded(reporting.class_front(e, "y", lines=(4.0, 8.0)), "median", "q95")
+
+
+@query("SELECT 'orders' AS variant, r AS rule, count(*) AS total, count(*) FILTER (CASE r WHEN 'urgent' THEN o_orderpriority = '1-URGENT' ELSE o_totalprice > 200000 END) AS supported, round(count(*) FILTER (CASE r WHEN 'urgent' THEN o_orderpriority = '1-URGENT' ELSE o_totalprice > 200000 END) / count(*), 6) AS share FROM orders, (VALUES ('urgent'), ('large')) t(r) GROUP BY r")
+def variant_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return rounded(reporting.variant_counts({"orders": o}, {"urgent": F.col("o_orderpriority") == "1-URGENT", "large": F.col("o_totalprice") > 200000}), "share")
+
+
+def _demo(spark):
+    cfg = {"study": {"start": "2024-01-01", "end": "2024-06-30"}, "bins": 5}
+    inputs = surveillance.demo_inputs(spark, surveillance.configured(cfg))
+    return cfg, inputs, surveillance.prepare(inputs, cfg)
+
+
+@query()
+def demo_exclusion_audit(spark, sf_dir):
+    return _demo(spark)[2]["exclusion_audit"]
+
+
+@query()
+def demo_class_areas(spark, sf_dir):
+    """A whole run on synthetic inputs: records, tables, predictions, mask, runs, areas."""
+    cfg, inputs, tables = _demo(spark)
+    effects = inputs["weeks"].select(F.col("time_index").alias("index"), (F.col("time_index") / 50.0).alias("mean"))
+    return surveillance.postfit(inputs, tables, {"intercept1": -1.0, "intercept2": 0.5, "mintemp": 0.3}, effects, cfg)["areas"]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpi_class_area(spark, sf_dir)
