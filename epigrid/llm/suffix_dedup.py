@@ -19,60 +19,74 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, as_bytes, blocks, mix, powers
 
-BLOCK = 1 << 21  # bytes of one transform
-HOT = 3000  # runs of one minimizer from which on they are dealt over several blocks
+BLOCK = 1 << 20  # bytes of one transform, more or less; one minimizer may take four times that
 GRAM = 128  # bytes of a minimizer's k-gram, at most
+#: Runs of one minimizer that one block holds; where there are more, they are dealt over
+#: several blocks. None: as many as fill four blocks.
+HOT: int | None = None
 
 
 # The transform of one block.
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, ordered by their first ``depth`` bytes at least."""
+START = 8  # prefixes of so many bytes are read off the packed keys
+
+
+def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes, ordered by their first ``depth`` bytes at least; and where in
+    that order the first min(START, depth) bytes change."""
     n = len(data)
     key = np.zeros(n, np.uint64)
-    for j in range(8):
+    for j in range(START):
         key[: n - j] |= data[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
-    order = np.argsort(key)
-    ranked = key[order]
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
-    h = 8
+    rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+    short = key >> np.uint64(64 - 8 * min(START, depth))
+    changes = np.append(True, short[1:] != short[:-1])
+    del key, short
+    h = START
     while h < depth and rank[order[-1]] < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
-        ranked = key[order]
-        rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
+        key = rank * (n + 1)
+        key[: n - h] += rank[h:] + 1
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        del key
         h *= 2
-    return order
+    return order, changes
 
 
-def open_prefixes(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+def open_prefixes(data: np.ndarray, order: np.ndarray, changes: np.ndarray, width: int) -> np.ndarray:
     """For each place of ``order``, whether that suffix and the one before it have a common
-    prefix of ``width`` or more: breadth-first backward extension on the transform."""
+    prefix of ``width`` or more: breadth-first backward extension on the transform, from
+    the intervals of all prefixes of START bytes on."""
     n = len(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    step = place[order - 1]  # from a suffix to the one a byte longer
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    step = place[order - 1]  # from a suffix to the one a byte longer; text is read as a ring
     column = data[order]
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    owner = np.full(n + 1, -1, np.int64)
-    low, high = np.array([0]), np.array([n])
-    for _ in range(width):
+    del place
+    known = np.append(changes, True)
+    owner = np.full(n + 1, -1, np.int32)
+    low = np.flatnonzero(changes).astype(np.int32)
+    high = np.append(low[1:], np.int32(n))
+    for _ in range(width - min(START, width)):
         if not len(low):
             break
         size = high - low
-        which = np.repeat(np.arange(len(low)), size)
-        at = step[np.arange(len(which)) + np.repeat(low - (np.cumsum(size) - size), size)]
+        which = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        shift = np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
+        at = step[np.arange(len(which), dtype=np.int32) + shift]
+        del shift
         owner[at] = which
-        above = np.minimum(at + 1, n - 1)
-        last = (at + 1 == n) | (owner[at + 1] != which) | (column[above] != column[at])
-        below = np.maximum(at - 1, 0)
-        first = (at == 0) | (owner[at - 1] != which) | (column[below] != column[at])
+        near = np.minimum(at + 1, n - 1)
+        last = (at + 1 == n) | (owner[at + 1] != which) | (column[near] != column[at])
+        near = np.maximum(at - 1, 0)
+        first = (at == 0) | (owner[at - 1] != which) | (column[near] != column[at])
         owner[at] = -1
+        del which, near
         start, end = np.sort(at[first]), np.sort(at[last]) + 1
         fresh = ~known[end]
         known[end] = True
@@ -84,8 +98,8 @@ def repeated_starts(segments: list[bytes], width: int) -> np.ndarray:
     """For each byte of the segments, in turn, whether the string of ``width`` bytes that
     starts there (within its segment) starts elsewhere too."""
     data = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)  # no byte of UTF-8
-    order = suffix_order(data, width)
-    joined = open_prefixes(data, order, width)
+    order, changes = suffix_order(data, width)
+    joined = open_prefixes(data, order, changes, width)
     again = joined.copy()
     again[:-1] |= joined[1:]
     out = np.empty(len(data), bool)
@@ -249,6 +263,7 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     solved once; texts shorter than ``width`` lose nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
+    hot = HOT or max(2, 4 * BLOCK // (width + gram_size(width)))
     ws = Workspace(spark, "repeats")
     with ws:
         scanned = ws.table(_runs(docs, width), "runs")
@@ -259,7 +274,7 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         values = runs.select("value", "start", "places", short.alias("of")).groupBy("value").agg(
             F.min("of").alias("a"), F.max("of").alias("b"), F.min("start").alias("c"), F.max("start").alias("d"), F.max("places").alias("p"), F.count(F.lit(1)).alias("n")
         )
-        values = values.where("a <> b or c <> d or p > 1").select("value", F.ceil(F.col("n") / HOT).cast("int").alias("split"))
+        values = values.where("a <> b or c <> d or p > 1").select("value", F.ceil(F.col("n") / hot).cast("int").alias("split"))
         hits = runs.join(values, "value").groupBy("text_key").agg(F.collect_set(F.struct("value", "start", "count", "places", "place", "split")).alias("hits"))
         hits = ws.table(hits.join(texts, "text_key").select("first_id", F.col("text_key").alias("of_key"), "hits"), "hits")
         ws.drop("runs")
@@ -298,11 +313,11 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                 columns = [c.to_pylist() for c in batch.columns]
                 for value, salt, *row in zip(*columns, strict=True):
                     if (value, salt) != at:
+                        if solver.size and solver.size + sum(len(r[5]) for r in group) > BLOCK:
+                            yield batch_of(solver.solve())
                         if group:
                             solver.add(group)
                         group, at = [], (value, salt)
-                        if solver.size > BLOCK:
-                            yield batch_of(solver.solve())
                     group.append(row)
             if group:
                 solver.add(group)
