@@ -82,22 +82,27 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         queries = ws.table(queries.distinct(), "queries")
         cuts = _cuts(index.count())
         entries = ws.table(index.select("code", F.size("ids").alias("n"), F.element_at("ids", 1).alias("least"), F.explode(_segments(F.col("code"), cuts)).alias("e")).select("e.seg", "e.value", "code", "n", "least"), "entries")
-        open_ = ws.table(queries.select(F.col("code").alias("q")).distinct(), "open0")
+        open_ = ws.table(queries.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), "open0")
         best, done = None, []
-        for radius in range(max(b for _, b in cuts) + 1):
+        last_radius = max(b for _, b in cuts)
+        for radius in range(last_radius + 1):
             masks = {b: _flips(b, radius) for _, b in cuts}
-            probes = open_.select("q", F.explode(_segments(F.col("q"), cuts, masks)).alias("e")).select("q", "e.seg", "e.value")
-            found = probes.join(entries, ["seg", "value"]).select("q", "code", "n", "least", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
+            probes = open_.select("q", "bound", F.explode(_segments(F.col("q"), cuts, masks)).alias("e")).select("q", "bound", F.col("e.seg").alias("s"), F.col("e.value").alias("v"))
+            distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+            # Merged: probes are far more than their source's size says, and not to be broadcast.
+            hit = (F.col("seg") == F.col("s")) & (F.col("value") == F.col("v")) & (distance <= F.col("bound"))
+            found = probes.hint("merge").join(entries.hint("merge"), hit).select("q", "code", "n", "least", distance.alias("distance")).distinct()
             if best is not None:
-                found = found.unionByName(best.join(open_, "q", "left_semi")).distinct()
+                found = found.unionByName(best.join(open_.select("q"), "q", "left_semi")).distinct()
             near = Window.partitionBy("q").orderBy("distance", "least", "code")
             best = ws.table(found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1).drop("place"), f"best{radius}")
             covered = len(cuts) * (radius + 1) - 1
             enough = best.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k).select("q")
-            last = radius == max(b for _, b in cuts)
-            done.append(best if last else best.join(enough, "q", "left_semi"))
-            open_ = ws.table(open_.join(enough, "q", "left_anti"), f"open{radius + 1}")
-            if not last and not open_.take(1):
+            done.append(best if radius == last_radius else best.join(enough, "q", "left_semi"))
+            # With k + 1 codes at hand, farther ones than the last of them are out.
+            known = best.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.max("distance")).otherwise(BITS).cast("int").alias("bound"))
+            open_ = ws.table(open_.select("q").join(enough, "q", "left_anti").join(known, "q", "left").select("q", F.coalesce("bound", F.lit(BITS)).alias("bound")), f"open{radius + 1}")
+            if not open_.take(1):
                 break
         answers = done[0]
         for more in done[1:]:
