@@ -35,14 +35,17 @@ def test_transform_and_minimizers_against_counting(width, alphabet):
         for t, w in zip(texts, want, strict=True):
             assert (flags[at : at + len(w)] == w).all()
             at += len(t) + 1
-        groups = {}
+        groups, of = {}, {}
         for v, o, s, c, p, q in zip(*(x.tolist() for x in minimizer_runs(texts, width)), strict=True):
-            groups.setdefault(v, []).append((o, s, c, p, q - s, texts[o][s : s + c + width - 1], False))
+            piece = texts[o][s : s + c + width - 1]
+            groups.setdefault(v, {}).setdefault(piece, [p, q - s, 0])[2] += 1
+            of.setdefault((v, piece), []).append((o, s))
         solver, got = Solver(width), [np.zeros(len(w), bool) for w in want]
-        for g in groups.values():
-            solver.add(g)
-        for o, a, b, _, _ in solver.solve():
-            got[o][a:b] = True
+        for v, g in groups.items():
+            solver.add([((v, piece), piece, p, q, n, False) for piece, (p, q, n) in g.items()])
+        for key, a, b, _, _ in solver.solve():
+            for o, s in of[key]:
+                got[o][s + a : s + b] = True
         assert all((g == w).all() for g, w in zip(got, want, strict=True))
 
 
