@@ -9,7 +9,7 @@ verified distance is within that. Equal codes are one entry of the index.
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import ceil, log2
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -39,8 +39,9 @@ def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _cuts(codes: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the segments: about log2(codes) bits each."""
-    m = max(1, min(BITS // 4, round(BITS / max(4.0, log2(max(codes, 2))))))
+    """(first bit, bits) of the segments: log2(codes) bits each or a little fewer, so that a
+    probe meets a few codes, and few more probes are made than that."""
+    m = max(1, min(BITS // 4, ceil(BITS / max(4.0, log2(max(codes, 2))))))
     edges = np.linspace(0, BITS, m + 1).astype(int)
     return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:], strict=False)]
 
