@@ -185,19 +185,19 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def trimmed(group: list[tuple[bytes, int, int, int]], width: int) -> list[tuple[int, int]]:
-    """Of each segment (text, starts, places, place) of one minimizer, the starts that may
-    repeat. Every string contains the k-gram with half of the rest on its left, or on its
-    right; where no other segment has that half, starts on that side go."""
+def trimmed(group: list[tuple[bytes, int]], width: int) -> list[tuple[int, int]]:
+    """Of each piece (text, place) of one minimizer, the starts that may repeat. Every
+    string contains the k-gram with half of the rest on its left, or on its right; where
+    no other piece has that half, starts on that side go."""
     k = gram_size(width)
     half = (width - k) // 2
     left, right = {}, {}
-    for text, _, _, at in group:
+    for text, at in group:
         for side, part in ((left, text[max(0, at - half) : at + k]), (right, text[at : at + k + half])):
             side[part] = side.get(part, 0) + 1
     out = []
-    for text, starts, _, at in group:
-        lo, hi = 0, starts
+    for text, at in group:
+        lo, hi = 0, len(text) - width + 1
         if left[text[max(0, at - half) : at + k]] < 2:
             lo = max(lo, min(hi, at - half + 1))
         if right[text[at : at + k + half]] < 2:
@@ -207,48 +207,39 @@ def trimmed(group: list[tuple[bytes, int, int, int]], width: int) -> list[tuple[
 
 
 class Solver:
-    """Collects groups of segments and solves them block by block."""
+    """Collects the distinct pieces of minimizers and solves them block by block."""
 
     def __init__(self, width: int):
         self.width, self.size, self.jobs, self.texts = width, 0, [], []
 
     def add(self, rows: list[tuple]) -> None:
-        """rows of one minimizer: (text key, first start, starts, places, place, text, split)."""
-        by: dict[bytes, list] = {}
-        for r in rows:
-            by.setdefault(r[5], []).append(r)
-        cut = [(0, rs[0][2]) for rs in by.values()]
-        if len(by) > 1 and not rows[0][6] and all(r[3] == 1 for r in rows):
-            cut = trimmed([(t, rs[0][2], rs[0][3], rs[0][4]) for t, rs in by.items()], self.width)
-        for (text, rs), (lo, hi) in zip(by.items(), cut, strict=True):
-            if (len(by) > 1 or rs[0][3] > 1 or rs[0][6]) and hi > lo:
-                piece = text[lo : hi + self.width - 1]
-                self.jobs.append((rs, lo, hi, self.size))
+        """rows of one minimizer: (key, text, places, place, copies, split)."""
+        cut = [(0, len(r[1]) - self.width + 1) for r in rows]
+        if len(rows) > 1 and not rows[0][5] and all(r[2] == 1 for r in rows):
+            cut = trimmed([(r[1], r[3]) for r in rows], self.width)
+        for r, (lo, hi) in zip(rows, cut, strict=True):
+            if hi > lo and (len(rows) > 1 or r[2] > 1 or r[5]):
+                piece = r[1][lo : hi + self.width - 1]
+                self.jobs.append((r, lo, hi, self.size))
                 self.texts.append(piece)
                 self.size += len(piece) + 1
-            elif len(rs) > 1:
-                self.jobs.append((rs, 0, 0, 0))
+            elif r[4] > 1:
+                self.jobs.append((r, 0, 0, 0))
 
     def solve(self) -> list[tuple]:
-        """(text key, first, end, low, high): repeated starts [first, end) of a text (no
-        hashes), and of split groups each start not yet repeated, or one of each class of
-        those that are, with the two halves of its string's hash."""
+        """(key, begin, end, low, high): repeated starts [begin, end) of a piece (no hashes),
+        and of split minimizers each start with the two halves of its string's hash."""
         out = []
         flags = repeated_starts(self.texts, self.width) if self.texts else np.empty(0, bool)
-        for rs, lo, hi, at in self.jobs:
-            mine = np.zeros(rs[0][2], bool)
+        for (key, text, _, _, copies, split), lo, hi, at in self.jobs:
+            mine = np.zeros(len(text) - self.width + 1, bool)
             mine[lo:hi] = flags[at : at + hi - lo]
-            if len(rs) > 1:
+            if copies > 1:
                 mine[:] = True
-            begins, ends = _spans(mine)
-            for key, first, *_ in rs:
-                out += [(key, first + int(a), first + int(b), None, None) for a, b in zip(begins, ends, strict=True)]
-            if rs[0][6]:
-                text = rs[0][5]
-                for i in range(rs[0][2]):
-                    d = hashlib.blake2b(text[i : i + self.width], digest_size=16).digest()
-                    for key, first, *_ in rs[:1] if mine[i] else rs:
-                        out.append((key, first + i, first + i + 1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+            out += [(key, int(a), int(b), None, None) for a, b in zip(*_spans(mine), strict=True)]
+            for i in range(len(mine) if split else 0):
+                d = hashlib.blake2b(text[i : i + self.width], digest_size=16).digest()
+                out.append((key, i, i + 1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
         self.size, self.jobs, self.texts = 0, [], []
         return out
 
@@ -284,36 +275,38 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         def emit(batches):
             import pyarrow as pa
 
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
             for batch in batches:
                 for lo in range(0, batch.num_rows, 200):
                     part, rows = batch.slice(lo, 200), []
                     for text, key, spans in zip(as_bytes(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                         for h in spans:
                             piece = text[h["start"] : h["start"] + h["count"] + width - 1]
-                            salt = int.from_bytes(hashlib.blake2b(key + piece[:64], digest_size=4).digest(), "big") % h["split"] if h["split"] > 1 else 0
-                            rows.append((h["value"], salt, key, h["start"], h["count"], h["places"], h["place"], piece, h["split"] > 1))
+                            own = hashlib.blake2b(piece, digest_size=16).digest()
+                            rows.append((h["value"], int.from_bytes(own[:4], "big") % h["split"], own, key, h["start"], h["places"], h["place"], piece, h["split"] > 1))
                     if rows:
-                        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["value", "salt", "text_key", "start", "count", "places", "place", "piece", "split"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["value", "salt", "piece_key", "text_key", "start", "places", "place", "piece", "split"])
 
-        pieces = found.mapInArrow(emit, "value long, salt int, text_key binary, start long, count long, places long, place long, piece binary, split boolean")
-        dealt = pieces.repartition("value", "salt").sortWithinPartitions("value", "salt")
+        pieces = ws.table(found.mapInArrow(emit, "value long, salt int, piece_key binary, text_key binary, start long, places long, place long, piece binary, split boolean"), "pieces")
+        # Equal pieces are summed before they meet: a passage with the same surroundings in
+        # any number of documents is one row.
+        distinct = pieces.groupBy("value", "salt", "piece_key").agg(F.first("piece").alias("piece"), F.max("places").alias("places"), F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.first("split").alias("split"))
+        dealt = distinct.repartition("value", "salt").sortWithinPartitions("value", "salt")
 
         def solve(batches):
             import pyarrow as pa
 
-            solver, group, at = Solver(width), [], None
+            solver, group, at, kinds = Solver(width), [], None, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
             def batch_of(rows):
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["text_key", "begin", "end", "low", "high"])
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["piece_key", "begin", "end", "low", "high"])
 
             for batch in batches:
                 columns = [c.to_pylist() for c in batch.columns]
                 for value, salt, *row in zip(*columns, strict=True):
                     if (value, salt) != at:
-                        if solver.size and solver.size + sum(len(r[5]) for r in group) > BLOCK:
+                        if solver.size and solver.size + sum(len(r[1]) for r in group) > BLOCK:
                             yield batch_of(solver.solve())
                         if group:
                             solver.add(group)
@@ -323,14 +316,15 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                 solver.add(group)
             yield batch_of(solver.solve())
 
-        order = ["value", "salt", "text_key", "start", "count", "places", "place", "piece", "split"]
-        solved = ws.table(dealt.select(*order).mapInArrow(solve, "text_key binary, begin long, end long, low long, high long"), "solved")
-        # Starts of split groups: those whose string is in more than one block.
+        solved = dealt.select("value", "salt", "piece_key", "piece", "places", "place", "copies", "split").mapInArrow(solve, "piece_key binary, begin long, end long, low long, high long")
+        solved = ws.table(solved, "solved")
+        # Starts of split minimizers: those whose string is in more than one piece.
         tested = solved.where("low is not null")
         shared = tested.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "high")
-        late = tested.join(shared, ["low", "high"]).select("text_key", "begin", "end")
-        spans = solved.where("low is null").select("text_key", "begin", "end").unionByName(late)
-        spans = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+        late = tested.join(shared, ["low", "high"]).select("piece_key", "begin", "end")
+        spans = solved.where("low is null").select("piece_key", "begin", "end").unionByName(late)
+        spans = pieces.select("piece_key", "text_key", "start").join(spans, "piece_key")
+        spans = spans.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")))).alias("spans"))
         known = texts.where("copies > 1").select("text_key", "copies").join(spans, "text_key", "full")
         known = ws.result(known.select(F.col("text_key").alias("of_key"), F.coalesce("copies", F.lit(1)).alias("copies"), "spans"))
         owned = keyed.join(known, F.col("text_key") == F.col("of_key"), "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
