@@ -96,7 +96,7 @@ def assignment_faults(table: DataFrame, grid: Grid, value: str) -> DataFrame:
     """One row of counts: ids out of range, repeated ids, values not finite."""
     n = table.groupBy("cell_id").count()
     bad = n.agg(F.count(F.when(~F.col("cell_id").between(1, grid.rows * grid.cols), 1)).alias("out_of_range"), F.count(F.when(F.col("count") > 1, 1)).alias("repeated"))
-    return bad.crossJoin(table.agg(F.count(F.when(~finite(value), 1)).alias("not_finite")))
+    return bad.crossJoin(F.broadcast(table.agg(F.count(F.when(~finite(value), 1)).alias("not_finite"))))
 
 
 def coordinate_check(table: DataFrame, grid: Grid, tolerance: float = 1e-7) -> DataFrame:

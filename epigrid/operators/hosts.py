@@ -47,7 +47,7 @@ def host_audit(expanded: DataFrame, raw: DataFrame, host: str) -> DataFrame:
     """One row: submissions, expanded rows, compound and unmatched submissions, raw names."""
     per = expanded.groupBy("submission").agg(F.count("pattern_id").alias("m"))
     one = per.agg(F.count(F.lit(1)).alias("submissions"), F.sum(F.greatest("m", F.lit(1))).alias("expanded"), F.count(F.when(F.col("m") > 1, 1)).alias("compound"), F.count(F.when(F.col("m") == 0, 1)).alias("unmatched"))
-    return one.crossJoin(raw.agg(F.count_distinct(host).alias("raw_names")))
+    return one.crossJoin(F.broadcast(raw.agg(F.count_distinct(host).alias("raw_names"))))
 
 
 def species_composition(df: DataFrame, species: str, categories: DataFrame, denominator: int) -> DataFrame:

@@ -128,7 +128,7 @@ def error_metrics(df: DataFrame, observed: str, predicted: str) -> DataFrame:
     o, p = F.col(observed), F.col(predicted)
     basic = both.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(o - p)).alias("mae"), F.sqrt(F.avg((o - p) * (o - p))).alias("rmse"), F.corr(o, p).alias("pearson"), (F.avg(o) / F.nullif(F.avg(p), F.lit(0.0))).alias("mean_ratio"))
     ranked = average_rank(average_rank(both.select(o.alias("_o"), p.alias("_p")), "_o", "_ro"), "_p", "_rp")
-    return basic.crossJoin(ranked.agg(F.corr("_ro", "_rp").alias("spearman")))
+    return basic.crossJoin(F.broadcast(ranked.agg(F.corr("_ro", "_rp").alias("spearman"))))
 
 
 def brier_log_loss(df: DataFrame, label: str, probability: str, clip: float = 1e-12) -> DataFrame:

@@ -54,7 +54,7 @@ def summary_comparison(reference: DataFrame, production: DataFrame, key: str, va
 
 def set_difference_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many rows of each set the other lacks, and whether the sets are equal."""
-    missing = a.subtract(b).agg(F.count(F.lit(1)).alias("only_left")).crossJoin(b.subtract(a).agg(F.count(F.lit(1)).alias("only_right")))
+    missing = a.subtract(b).agg(F.count(F.lit(1)).alias("only_left")).crossJoin(F.broadcast(b.subtract(a).agg(F.count(F.lit(1)).alias("only_right"))))
     return missing.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
@@ -64,9 +64,9 @@ def subset_violations(inner: DataFrame, outer: DataFrame, keys: list[str]) -> Da
 
 def cross_product_check(df: DataFrame, left: str, right: str, n_left: int, n_right: int) -> DataFrame:
     """One row: rows, missing and repeated pairs of a table meant to have each of
-    1..n_left with each of 1..n_right once."""
+    1..n_left with each of 1..n_right (the fewer: groups, weeks) once."""
     spark = df.sparkSession
-    want = spark.range(1, n_left + 1).select(F.col("id").alias(left)).crossJoin(spark.range(1, n_right + 1).select(F.col("id").alias(right)))
+    want = spark.range(1, n_left + 1).select(F.col("id").alias(left)).crossJoin(F.broadcast(spark.range(1, n_right + 1).select(F.col("id").alias(right))))
     counts = df.groupBy(left, right).count()
     return want.join(counts, [left, right], "full").agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.when(F.col("count").isNull(), 1)).alias("missing"), F.count(F.when(F.col("count") > 1, 1)).alias("repeated"),

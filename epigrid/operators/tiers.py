@@ -34,7 +34,7 @@ def area_week_counts(observations: DataFrame, areas: DataFrame, weeks: DataFrame
 
 def conservation(observations: DataFrame, presence: DataFrame, counts: DataFrame) -> DataFrame:
     """One row: observations, presences and counts, and whether all three agree."""
-    one = observations.agg(F.count(F.lit(1)).alias("eligible")).crossJoin(presence.agg(F.coalesce(F.sum("Yi"), F.lit(0)).alias("presences"))).crossJoin(counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("counted")))
+    one = observations.agg(F.count(F.lit(1)).alias("eligible")).crossJoin(F.broadcast(presence.agg(F.coalesce(F.sum("Yi"), F.lit(0)).alias("presences")))).crossJoin(F.broadcast(counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("counted"))))
     return one.withColumn("conserved", (F.col("eligible") == F.col("presences")) & (F.col("eligible") == F.col("counted")))
 
 
