@@ -222,5 +222,6 @@ def known_language(docs: DataFrame, least_score: float = 0.3, **options) -> Data
     """The rows of docs whose language is known: not "und", and scored at least
     ``least_score``. Columns stay as they are."""
     names, model = train_languages(docs, **options)
-    out = identify_languages(docs, names, model)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    out = identify_languages(docs.withColumnsRenamed(own), names, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return out.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

@@ -66,6 +66,8 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in got} <= {"en", "de", "und"}
     kept = known_language(docs, steps=30)
     assert kept.columns == docs.columns and {100, 101, 102}.isdisjoint(r.doc_id for r in kept.collect())
+    clash = known_language(docs.selectExpr("doc_id", "text", "lang", "'mine' as lang_pred", "7 as score"), steps=30)
+    assert clash.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {(r.lang_pred, r.score) for r in clash.collect()} == {("mine", 7)}
     assert language_report(docs.limit(0)).count() == 0
     unlabelled = language_report(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}
