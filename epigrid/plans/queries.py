@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import importable
 from ..functions import numbers, places, text, timeidx
 from ..operators import cleaning, gates, geometry, grid, hosts, mesh, metrics, persistence, predictor, reporting, responses, sets, tiers
 from ..sources import files
@@ -31,6 +32,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -657,6 +659,7 @@ def unit_assignment(spark, sf_dir):
 
 @query()
 def mesh_dual_cells(spark, sf_dir):
+    importable(spark)
     nodes, triangles = mesh.structured_mesh(spark, 6, 5)
     return mesh.dual_cells(nodes, triangles).join(rounded(mesh.dual_areas(nodes, triangles), "area"), "node")
 
