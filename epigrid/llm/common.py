@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import importable
+
 #: What the operators count as white space between words: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,6 +31,7 @@ def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     """What Python workers get at once, in bytes: texts are of any length, and a batch by
     number of rows alone could outgrow a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    importable(spark)
 
 
 class Workspace:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bounded_batches
 
 BITS = 64
 
@@ -34,6 +34,7 @@ def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             codes = np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes)], names=["id", "code"])
 
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null")
     return rows.mapInArrow(encode, "id long, code long")
 
