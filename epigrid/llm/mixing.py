@@ -71,7 +71,8 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
 
 def _decided(docs: DataFrame, mixed: DataFrame, columns: list) -> DataFrame:
     """docs' rows with their row of ``mixed``; word counts join exactly as they were made."""
-    m = mixed.select(*[F.col(c).alias(f"_mix_{c}") for c in mixed.columns])
+    # As many decisions as documents: merged, never broadcast.
+    m = mixed.select(*[F.col(c).alias(f"_mix_{c}") for c in mixed.columns]).hint("merge")
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
     keyed = docs.select(*columns, size.alias("_size"), docs["doc_id"].alias("_id"), docs["source"].alias("_source"))
     on = keyed["_id"].eqNullSafe(m["_mix_doc_id"]) & keyed["_source"].eqNullSafe(m["_mix_source"]) & (keyed["_size"] == m["_mix_size"])
