@@ -6,6 +6,11 @@ the candidates: in thin regions they share ``least_depth`` hashes, in dense ones
 more as it takes to come next to each other. Each dense region also has a hub, a set
 with its commonest key, that all its members are held against, since many copies of one
 text may be alike to it and yet not to each other. Candidates are confirmed on full sets.
+
+What the forest leaves in different components is then joined exactly: two sets that are
+alike share a shingle among the rarest of each (a prefix filter), so all pairs of different
+components that do, and whose sizes and places allow the similarity, are candidates too,
+without a cap on partners.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, as_bytes, blocks, shingle_hashes, word_hashes
 
 HASH_BYTES = 6  # of each shingle's hash, in the sets on which links are confirmed
+SAMPLE, COMMON = 10_000, 500_000  # documents that tell which shingles are common, and how many such shingles are sent
+BLOCK = 512  # sets of one shingle that are joined with each other in one group
 
 
 class Forest:
@@ -74,6 +81,11 @@ def shingle_sets(texts: list[bytes], width: int):
             yield shingle_hashes(h[at[i] : at[i + 1]], width)
 
 
+def set_id(shingles: np.ndarray) -> int:
+    """What names a set: 64 bits of a cryptographic hash of its shingles."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def packed(shingles: np.ndarray) -> bytes:
     return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
@@ -85,7 +97,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int, forest: Forest) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every row."""
+    """(doc_id, n_shingles, set_id, signature) of every row."""
 
     def sign(batches):
         import pyarrow as pa
@@ -94,19 +106,19 @@ def _signed(docs: DataFrame, width: int, forest: Forest) -> DataFrame:
             n, key, signature = [], [], []
             for s in shingle_sets(as_bytes(batch.column(1)), width):
                 n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                key.append(set_id(s) if len(s) else None)
                 signature.append(forest.signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(signature, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signature, pa.binary())], names=["doc_id", "n_shingles", "set_id", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_id long, signature binary")
 
 
 def _candidates(ws: Workspace, reps: DataFrame, forest: Forest, percent: int) -> DataFrame:
     """(a, b, trees): pairs of sets to confirm, a < b, and how many trees brought them up."""
     step = 2 * forest.depth
     keys = F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.substring(F.col("signature"), t * step + 1, F.lit(step)))
-    leaves = reps.select("rep", "n_shingles", F.posexplode(keys).alias("tree", "key"))
-    ranged = leaves.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").select("tree", "key", "rep", "n_shingles")
+    leaves = reps.select("set_id", "n_shingles", F.posexplode(keys).alias("tree", "key"))
+    ranged = leaves.repartitionByRange("tree", "key", "set_id").sortWithinPartitions("tree", "key", "set_id").select("tree", "key", "set_id", "n_shingles")
     overlap = 64 * forest.near
 
     def neighbours(batches):
@@ -114,9 +126,9 @@ def _candidates(ws: Workspace, reps: DataFrame, forest: Forest, percent: int) ->
 
         carried = None
 
-        def pairs(tree, key, rep, size):
+        def pairs(tree, key, ids, size):
             a, b = forest.candidates(tree, key, size, percent)
-            lo, hi = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+            lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
             both, trees = np.unique(np.stack([lo, hi]), axis=1, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(trees)], names=["a", "b", "trees"])
 
@@ -134,6 +146,99 @@ def _candidates(ws: Workspace, reps: DataFrame, forest: Forest, percent: int) ->
     return ws.table(found.groupBy("a", "b").agg(F.sum("trees").alias("trees")), "candidates")
 
 
+def _prefix_length(n: int, percent: int) -> int:
+    """So many of a set's shingles, in an order common to all sets, that any set alike to it has one of them among its own."""
+    return n + percent * n // -100 + 1
+
+
+def _common_shingles(docs: DataFrame, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles found in three sampled documents or more, and their
+    counts. They only order the shingles, so the sample does not change what is found."""
+
+    def some(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [*shingle_sets(as_bytes(batch.column(0)), width)]
+            s, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, 1_000_000 * SAMPLE // max(n_docs, SAMPLE))).select("text")
+    counts = part.mapInArrow(some, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s, n = np.asarray(counts.column(0)).astype(np.int64).view(np.uint64), np.asarray(counts.column(1)).astype(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _prefixes(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFrame:
+    """(shingle, set_id, n, at): the rarest shingles of each set, their places in its order
+    and its size; only shingles that two sets or more have so."""
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, n_docs, width))
+
+    def rarest(batches):
+        import pyarrow as pa
+
+        known, count = common.value
+        seen = set()  # equal texts come once a task, as far as that many are remembered
+        for batch in batches:
+            shingles, ids, sizes, at = [], [], [], []
+            for s in shingle_sets(as_bytes(batch.column(0)), width):
+                i = set_id(s) if len(s) else None
+                if i is None or i in seen:
+                    continue
+                seen.add(i)
+                k = _prefix_length(len(s), percent)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    often = np.where(known[place] == s, count[place], 0)
+                    s = s[np.argsort(often, kind="stable")] if often.any() else s
+                shingles.append(s[:k] >> np.uint64(16)), ids.append(np.full(k, i)), at.append(np.arange(k))
+                sizes.append(np.full(k, len(s)))
+            if len(seen) > 200_000:
+                seen.clear()
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((shingles, np.int64), (ids, np.int64), (sizes, np.int32), (at, np.int32))], names=["shingle", "set_id", "n", "at"])
+
+    def shared(batches):
+        import pyarrow as pa
+
+        held, linked = None, False  # the last row, and whether it shares its shingle with one before
+        for batch in batches:
+            rows = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks().to_batches()[0] if batch.num_rows else None
+            if rows is None:
+                continue
+            s, i = np.asarray(rows.column(0)), np.asarray(rows.column(1))
+            fresh = np.append(True, (s[1:] != s[:-1]) | (i[1:] != i[:-1]))
+            rows = rows.filter(pa.array(fresh))
+            s = s[fresh]
+            same = s[1:] == s[:-1]
+            keep = np.append(linked, same) | np.append(same, False)
+            linked, held = bool(np.append(linked, same)[-1]), rows.slice(len(s) - 1)
+            yield rows.slice(0, len(s) - 1).filter(pa.array(keep[:-1]))
+        if held is not None and linked:
+            yield held
+
+    form = "shingle long, set_id long, n int, at int"
+    return docs.select("text").mapInArrow(rarest, form).repartition("shingle").sortWithinPartitions("shingle", "set_id").mapInArrow(shared, form)
+
+
+def _apart(ws: Workspace, prefixes: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """(a, b, trees): the pairs of sets of different components that may be alike, a < b, and
+    how many of their rarest shingles they share. A shingle of many sets is dealt in blocks."""
+    named = ws.table(prefixes.join(part.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "named")
+    lists = named.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi").select("shingle", "many")
+    k = F.ceil(F.col("many") / BLOCK).cast("int")
+    dealt = named.join(lists, "shingle").withColumn("salt", F.pmod(F.xxhash64("set_id"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    dealt = ws.table(dealt.select("shingle", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "salt", "set_id", "component", "n", "at"), "dealt")
+    one, two = (dealt.withColumnsRenamed({c: f"{c}{e}" for c in ("salt", "set_id", "component", "n", "at")}) for e in "ab")
+    may = f"100L * least(na, nb) >= {percent}L * greatest(na, nb)"
+    meet = one.hint("merge").join(two, ["shingle", "x", "y"]).where(f"set_ida < set_idb and componenta <> componentb and (x = y or salta <> saltb) and {may}")
+    met = meet.groupBy(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")).agg(F.count(F.lit(1)).alias("trees"), F.max(F.expr("least(na - ata, nb - atb)")).alias("left"), F.first(F.expr("greatest(na, nb)")).alias("larger"), F.first(F.expr("na + nb")).alias("both"))
+    # At most so many in common: from the first common one on; and those met, with all of one set behind its prefix.
+    most = F.expr(f"least(left, trees + ceil({percent}L * larger / 100) - 1)")
+    return ws.table(met.where(most * (100 + percent) >= percent * F.col("both")).select("a", "b", "trees"), "apart")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have a Jaccard similarity of percent / 100 or more."""
 
@@ -204,6 +309,51 @@ def connected_components(ws: Workspace, links: DataFrame, name: str) -> DataFram
         seen = tuple(now)
 
 
+def _sets(ws: Workspace, docs: DataFrame, reps: DataFrame, candidates: DataFrame, width: int, name: str) -> DataFrame:
+    """(id, shingles) of the sets that candidates name."""
+    sides = candidates.select(F.col("a").alias("set_id")).unionByName(candidates.select(F.col("b").alias("set_id"))).distinct()
+    sides = ws.table(reps.select("set_id", "rep").join(sides, "set_id", "left_semi"), f"{name}-sides")
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(sides.select(F.col("rep").alias("id"))))
+    slotted = docs.select("doc_id", "text", _slot("doc_id").alias("slot"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        bits = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            slot = np.asarray(batch.column(2).fill_null(0), dtype=np.int64)
+            some = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+            sets = [(packed(s), set_id(s) if len(s) else None) for s in shingle_sets(as_bytes(some.column(1)), width)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x for _, x in sets], pa.int64()), pa.array([x for x, _ in sets], pa.binary())], names=["rep", "id", "shingles"])
+
+    sets = slotted.mapInArrow(pack, "rep long, id long, shingles binary")
+    sets = sets.join(sides.withColumnRenamed("set_id", "id"), ["rep", "id"], "left_semi")
+    return ws.table(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), f"{name}-sets")
+
+
+def _settled(ws: Workspace, docs: DataFrame, reps: DataFrame, width: int, percent: int, strongest: int, candidates: DataFrame, links: DataFrame, part: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """links and their components with those of candidates (a, b, trees) added: first the
+    strongest of each set are confirmed, then all that are still in different components."""
+    if candidates.isEmpty():
+        return links, part
+    sets = _sets(ws, docs, reps, candidates, width, name)
+    ends = candidates.select("a", "b", "trees", F.explode(F.array("a", "b")).alias("end"))
+    place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("trees"), "a", "b"))
+    strong = ends.withColumn("k", place).where(F.col("k") <= strongest).select("a", "b").distinct()
+    for k in (1, 2):
+        if k == 1:
+            pairs = strong
+        else:
+            ca, cb = part.select(F.col("id").alias("a"), F.col("component").alias("ca")), part.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+            pairs = candidates.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+            pairs = pairs.join(strong, ["a", "b"], "left_anti")
+        more = ws.table(_confirmed(pairs, sets, percent), f"{name}-links{k}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            part = ws.table(connected_components(ws, links, f"{name}-{k}-"), f"{name}-parts{k}")
+    return links, part
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest: Forest | None = None, strongest: int = 3) -> DataFrame:
     """One row a row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -221,38 +371,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Workspace(spark, "near") as ws:
         signed = ws.table(_signed(docs, width, forest), "signed")
-        whole = signed.where("set_key is not null and doc_id is not null")
-        reps = whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-        candidates = _candidates(ws, ws.table(reps, "reps"), forest, percent)
-        sides = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
-        marks = spark.sparkContext.broadcast(_marked(sides))
-        slotted = docs.select("doc_id", "text", _slot("doc_id").alias("slot"))
-
-        def pack(batches):
-            import pyarrow as pa
-
-            bits = np.frombuffer(marks.value, np.uint8)
-            for batch in batches:
-                slot = np.asarray(batch.column(2).fill_null(0), dtype=np.int64)
-                some = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
-                sets = [packed(s) for s in shingle_sets(as_bytes(some.column(1)), width)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
-
-        sets = slotted.mapInArrow(pack, "id long, shingles binary").join(sides, "id", "left_semi")
-        sets = ws.table(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
-        ends = candidates.select("a", "b", "trees", F.explode(F.array("a", "b")).alias("end"))
-        place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("trees"), "a", "b"))
-        strong = ends.withColumn("k", place).where(F.col("k") <= strongest).select("a", "b").distinct()
-        links = ws.table(_confirmed(strong, sets, percent), "links1")
-        part = ws.table(connected_components(ws, links, "first"), "parts1")
-        pa_, pb = part.select(F.col("id").alias("a"), F.col("component").alias("ca")), part.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        rest = candidates.join(pa_, "a", "left").join(pb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        rest = rest.join(strong, ["a", "b"], "left_anti")
-        more = ws.table(_confirmed(rest, sets, percent), "links2")
-        part = connected_components(ws, links.unionByName(more), "last")
-        names = ws.table(reps.select("set_key", "rep").join(part, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component")), "names")
-        out = signed.join(names, "set_key", "left")
-        component = F.coalesce("component", "doc_id")
+        whole = signed.where("set_id is not null and doc_id is not null")
+        reps = whole.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        reps = ws.table(reps, "reps")
+        links, part = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
+        links, part = _settled(ws, docs, reps, width, percent, strongest, _candidates(ws, reps, forest, percent), links, part, "forest")
+        prefixes = _prefixes(docs.where("doc_id is not null"), signed.count(), width, percent)
+        _, part = _settled(ws, docs, reps, width, percent, strongest, _apart(ws, prefixes, part, percent), links, part, "exact")
+        named = reps.select("set_id", "rep").join(part, F.col("set_id") == F.col("id"), "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
+        names = ws.table(named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "component_id"), "names")
+        out = signed.join(names, "set_id", "left")
+        component = F.coalesce("component_id", "doc_id")
         return ws.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
 
 

@@ -101,3 +101,32 @@ def test_signatures_estimate_similarity():
     a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 50, dtype=np.uint64)])) for _ in range(2))
     x, y = (np.frombuffer(forest.signature(s), ">u2") for s in (a, b))
     assert abs((x == y).mean() - 0.8) < 0.12
+
+
+@pytest.mark.parametrize("at", [0.5, 1])
+def test_star_of_copies_whose_original_is_not_the_first(spark, at, many=200):
+    """Copies alike to the original (0.81 to 0.87) and not to each other, in any order."""
+    rng = random.Random(many)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(many):
+        c = list(base)
+        for k in rng.sample(range(3, 147, 4), 3):
+            c[k] = f"n{i}_{k}"
+        texts.append(" ".join(c))
+    texts.insert(int(at * many), " ".join(base))
+    texts += [f"other{i} " + " ".join(rng.choice("abcdefgh") for _ in range(40)) for i in range(50)]
+    texts = list(enumerate(texts))
+    got = near_duplicates(spark.createDataFrame(rows(texts), SCHEMA).repartition(5), width=4, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: v[1] for i, v in brute(texts, 4, 80).items()}
+
+
+def test_exact_join_alone_finds_all_pairs(spark, monkeypatch):
+    """Without any candidate of the forest, and with shingles dealt in small blocks."""
+    from epigrid.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "_candidates", lambda ws, *_: spark.createDataFrame([], "a long, b long, trees long"))
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    texts = near_corpus()
+    got = near_duplicates(spark.createDataFrame(rows(texts), SCHEMA).repartition(5), width=4, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(texts, 4, 80)
