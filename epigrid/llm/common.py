@@ -18,10 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only where it is unset (tests, one
-    machine) a temporary folder takes its place, and is stored in the setting."""
+    """The folder in ``spark.checkpoint.dir``. Only where it is unset on one machine (tests)
+    a temporary folder takes its place, and is stored in the setting; on a cluster that
+    is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="epigrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,7 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     """What Python workers get at once, in bytes: texts are of any length, and a batch by
-    number of rows alone could outgrow a worker."""
+    number of rows alone could outgrow a worker. The setting holds for the session from
+    then on, since rows are made only when the caller reads them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
     importable(spark)
 
@@ -74,6 +78,26 @@ class Workspace:
         fs.delete(p, True)
 
 
+class Apart:
+    """A table whose columns stand aside under names of their own (own_0, own_1, ...), so that
+    a helper column can have any name. ``apart["text"]`` is the column that was ``text``."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"own_{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str):
+        low = [n.lower() for n in self.names]
+        return F.col(f"own_{low.index(name.lower())}")
+
+    def back(self, df: DataFrame, changed: dict | None = None, more: dict | None = None, without: tuple = ()) -> DataFrame:
+        """df's own columns under their former names, those in ``changed`` with new values,
+        then the columns in ``more``."""
+        out = {n: (changed or {}).get(n, F.col(f"own_{i}")) for i, n in enumerate(self.names) if n not in without} | (more or {})
+        # In two steps: within one, a new name could be taken for a helper column of that name.
+        return df.select(*[c.alias(f"out_{i}") for i, c in enumerate(out.values())]).toDF(*out)
+
+
 def running_total(ws: Workspace, df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     """``df`` with ``before``: the sum of ``value`` over all rows that precede in ``order``.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Apart, Workspace
 
 #: Boilerplate sets of up to so many lines are broadcast, larger ones joined.
 BROADCAST_LINES = 200_000
@@ -20,9 +20,10 @@ def _lines(text):
 
 
 def _key(line):
-    """64-bit hash of a line without white space at its ends; blank lines have none."""
+    """128-bit hash of a line without white space at its ends; blank lines have none. Two
+    of 1e10 lines have one hash with a chance of 1e-19."""
     bare = F.btrim(line, F.lit(" \t\r\f\x0b"))
-    return F.when(bare != "", F.xxhash64(bare))
+    return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
 def boilerplate_lines(pages: DataFrame, host: str, ratio: float, least_pages: int) -> DataFrame:
@@ -50,17 +51,18 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = 0.1,
     bad = ws.result(boilerplate_lines(pages, host, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("lines"), F.count(F.lit(1)).alias("n")))
     # At most (lines of a mean page) / ratio lines a host can be above the ratio.
     total = bad.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bad = bad.select(F.col("host").alias("_bad_host"), F.col("lines").alias("_bad"))
+    bad = bad.select(F.col("host").alias("bad_host"), F.col("lines").alias("bad"))
+    apart = Apart(pages)
+    text, own_host = apart["text"], apart[host]
     if total <= BROADCAST_LINES:
-        joined = pages.join(F.broadcast(bad), pages[host].eqNullSafe(F.col("_bad_host")), "left")
+        joined = apart.df.join(F.broadcast(bad), own_host.eqNullSafe(F.col("bad_host")), "left")
     else:  # a hot host is dealt over salted copies of its short list
         salts = 64
-        bad = bad.withColumn("_bad_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = pages.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int"))
-        joined = salted.join(bad, salted[host].eqNullSafe(F.col("_bad_host")) & (F.col("_salt") == F.col("_bad_salt")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_bad", _key(x)), F.lit(False)))
-    clean = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("_bad").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
-    columns = [clean.alias("text") if c == "text" else F.col(c) for c in pages.columns if c != "removed_lines"]
-    return joined.select(*columns, removed.alias("removed_lines"))
+        bad = bad.withColumn("bad_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = apart.df.withColumn("salt", F.pmod(F.xxhash64(text), F.lit(salts)).cast("int"))
+        joined = salted.join(bad, own_host.eqNullSafe(F.col("bad_host")) & (F.col("salt") == F.col("bad_salt")), "left")
+    lines = _lines(text)
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("bad", _key(x)), F.lit(False)))
+    clean = F.when(F.col("bad").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col("bad").isNull() | text.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    return apart.back(joined, {"text": clean}, {"removed_lines": removed}, without=("removed_lines",))

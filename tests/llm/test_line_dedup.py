@@ -2,6 +2,8 @@ from collections import Counter, defaultdict
 
 from helpers import odd_docs, odd_rows
 
+from pyspark.sql import functions as F
+
 import epigrid.llm.line_dedup as line_dedup
 from epigrid.llm.line_dedup import drop_boilerplate
 
@@ -40,3 +42,17 @@ def test_empty_table_and_page_of_boilerplate(spark):
     assert drop_boilerplate(docs.limit(0)).count() == 0
     pages = spark.createDataFrame([(i, "Same\n  Same \r", "h") for i in range(5)], "doc_id long, text string, source string")
     assert {(r.text, r.removed_lines) for r in drop_boilerplate(pages).collect()} == {("", 2)}
+
+
+def test_extra_columns_of_any_name(spark, monkeypatch):
+    docs = odd_docs(spark)
+    names = ["bad", "_bad", "bad_host", "salt", "host", "lines", "own_0", "own_1", "_salt"]
+    more = docs.select("*", *[F.lit(f"mine {n}").alias(n) for n in names if n != "salt"])
+    want = brute(odd_rows(), 0.1, 3)
+    for most in (10_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        got = drop_boilerplate(more, ratio=0.1)
+        assert got.columns == [*more.columns, "removed_lines"]
+        rows = got.collect()
+        assert Counter((r.doc_id, r.text, r.removed_lines) for r in rows) == want
+        assert {(r["_bad"], r["own_0"]) for r in rows} == {("mine _bad", "mine own_0")}
