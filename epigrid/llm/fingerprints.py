@@ -1,8 +1,10 @@
 """Context-triggered piecewise hashing of documents.
 
 A rolling hash over seven bytes ends a chunk where it hits a residue of the block
-size; each chunk gives one character, of a chunk many times in a row the first 16. Fingerprints of like block sizes are compared by
-the edit distance (insertions and deletions) of their signatures.
+size; each chunk gives one character. Of a chunk more than 16 times in a row the first 16
+do, and after them the number of the others in base 64, so that periodic texts of different
+lengths differ. Fingerprints of like block sizes are compared by the edit distance
+(insertions and deletions) of their signatures.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ def _triggers(data: np.ndarray, exponent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(data: np.ndarray, total: np.ndarray, down: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the chunks; of a chunk many times in a row the first RUN count."""
+    """Symbols (0 to 63) of the chunks; of a chunk many times in a row the first RUN count, and
+    the digits of how many more there are, the last first."""
     ends = ends + 1
     if not len(ends) or ends[-1] != len(data):
         ends = np.append(ends, len(data))
@@ -44,8 +47,16 @@ def _chunks(data: np.ndarray, total: np.ndarray, down: np.ndarray, ends: np.ndar
     raw = total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0))
     h = mix(raw * down[starts] + (ends - starts).astype(np.uint64))
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-    return h[place < RUN]
+    size = np.diff(np.append(first, len(h)))
+    place = np.arange(len(h)) - np.repeat(first, size)
+    symbol = (h >> np.uint64(58)).astype(np.int64)
+    keep = place < RUN
+    for begin, more in zip(first[size > RUN], size[size > RUN] - RUN, strict=True):
+        at = begin + RUN
+        while more:
+            symbol[at], keep[at] = more & 63, True
+            at, more = at + 1, more >> 6
+    return symbol[keep]
 
 
 def fingerprint(text: bytes) -> str:
@@ -61,11 +72,11 @@ def fingerprint(text: bytes) -> str:
     while (LEAST << k) * LENGTH < len(data):
         k += 1
     at, level = _triggers(data, k)
-    now = _chunks(data, total, down, at)
-    while len(now) > 2 * LENGTH:
+    now, then = (_chunks(data, total, down, at[level >= k + i]) for i in (0, 1))
+    while max(len(now), len(then)) > 2 * LENGTH:
         k += 1
-        now = _chunks(data, total, down, at[level >= k])
-    first, second = (_SYMBOLS[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode() for h in (now, _chunks(data, total, down, at[level >= k + 1])))
+        now, then = then, _chunks(data, total, down, at[level >= k + 1])
+    first, second = (_SYMBOLS[x].tobytes().decode() for x in (now, then))
     return f"{LEAST << k}:{first}:{second}"
 
 

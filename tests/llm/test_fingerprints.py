@@ -53,3 +53,11 @@ def test_small_tables(spark):
     one = fingerprint_report(docs.where("doc_id = 5")).first()
     assert one.near_next == 1.0
     assert fingerprint(b"") == "3::" and similarities([("3::", "3::")])[0] == 1
+
+
+def test_periodic_texts_of_different_lengths_differ():
+    unit = "one line that stands many times in a row, and nothing else\n"
+    prints = {n: fingerprint((unit * n).encode()) for n in (40, 200, 201, 240, 2000, 5000, 5001)}
+    assert len(set(prints.values())) == len(prints)
+    assert all(max(map(len, p.split(":")[1:])) <= 128 for p in prints.values())
+    assert (similarities([(prints[200], prints[201]), (prints[5000], prints[5001])]) < 1).all()
