@@ -7,6 +7,10 @@ text of the others is shuffled by minimizer. Each task builds the Burrows-Wheele
 transform of a block of runs and extends intervals backwards, breadth first, which gives
 the common prefixes of neighbouring suffixes by increasing length; it stops at ``width``:
 suffixes whose common prefix is still open then are those that repeat.
+
+Strings that a piece repeats within itself (periodic texts) enter the transform once. A
+minimizer with more text than a block holds is dealt over many tasks: its strings are
+compared by 128-bit hashes there, in packed rows, by buckets of the hash.
 """
 
 from __future__ import annotations
@@ -19,11 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, as_bytes, blocks, mix, powers
 
-BLOCK = 1 << 20  # bytes of one transform, more or less; one minimizer may take four times that
+BLOCK = 1 << 20  # bytes of one transform, more or less
+HOT = 1 << 20  # bytes of one minimizer's runs, from which on they are dealt over several tasks
 GRAM = 128  # bytes of a minimizer's k-gram, at most
-#: Runs of one minimizer that one block holds; where there are more, they are dealt over
-#: several blocks. None: as many as fill four blocks.
-HOT: int | None = None
+LONG = 1 << 20  # starts of a text that are scanned at once
 
 
 # The transform of one block.
@@ -126,7 +129,8 @@ def minimizer_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     up, down = powers(n + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n])))
     gram = mix((total[k:] - total[:-k]) * down[: n - k + 1])
-    bits = np.uint64(max(1, int(n - 1).bit_length()))
+    # The upper half of the hash decides, then the place: alike for equal strings anywhere.
+    bits = np.uint64(32)
     least = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
     size = 1
     while 2 * size <= w:
@@ -150,6 +154,12 @@ def minimizer_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return value[first], owner[first], start[first] - base, np.diff(np.append(first, len(start))), places, place[first] - base
 
 
+def stretches(texts: list[bytes], width: int, long: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Text numbers, first starts and bytes of the stretches of at most ``long`` starts."""
+    out = [(i, lo, t if len(t) < long + width else t[lo : lo + long + width - 1]) for i, t in enumerate(texts) for lo in range(0, max(1, len(t) - width + 1), long)]
+    return [list(x) for x in zip(*out, strict=True)] if out else [[], [], []]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and text_key, 16 bytes of the text's hash; null texts become empty."""
     text = F.coalesce("text", F.lit(""))
@@ -158,22 +168,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _runs(docs: DataFrame, width: int) -> DataFrame:
     """A row a document (value null, count its bytes), and one a run of starts."""
+    long = LONG
 
     def scan(batches):
         import pyarrow as pa
 
+        names = ["doc_id", "text_key", "value", "start", "count", "places", "place"]
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            for lo, hi in blocks(texts):
-                value, owner, start, count, places, place = minimizer_runs(texts[lo:hi], width)
-                head = np.arange(hi - lo)
-                rows = pa.array(np.concatenate([head, owner]))
-                none = np.zeros(hi - lo, np.int64)
-                values = pa.array(np.concatenate([none, value.view(np.int64)]), mask=np.arange(len(rows)) < hi - lo)
-                sizes = np.array([len(t) for t in texts[lo:hi]], np.int64)
-                numbers = [(none, start), (sizes, count), (none, places), (none, place - start)]
-                own = [batch.column(i).slice(lo, hi - lo).take(rows) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own, values, *(pa.array(np.concatenate(x)) for x in numbers)], names=["doc_id", "text_key", "value", "start", "count", "places", "place"])
+            none = np.zeros(len(texts), np.int64)
+            numbers = [none, np.array([len(t) for t in texts], np.int64), none, none]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.nulls(len(texts), pa.int64()), *map(pa.array, numbers)], names=names)
+            of, base, parts = stretches(texts, width, long)
+            of, base = np.array(of, np.int64), np.array(base, np.int64)
+            for lo, hi in blocks(parts):
+                value, owner, start, count, places, place = minimizer_runs(parts[lo:hi], width)
+                rows = pa.array(of[lo:hi][owner])
+                own = [batch.column(i).take(rows) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(value.view(np.int64)), *map(pa.array, (start + base[lo:hi][owner], count, places, place - start))], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _keyed(docs).mapInArrow(scan, f"doc_id {kind}, text_key binary, value long, start long, count long, places long, place long")
@@ -206,6 +218,24 @@ def trimmed(group: list[tuple[bytes, int]], width: int) -> list[tuple[int, int]]
     return out
 
 
+def repeats_within(text: bytes, width: int, lo: int, hi: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Whether each start of [lo, hi) has its string of ``width`` bytes elsewhere among them,
+    and the ranges of starts that together have each string once."""
+    data = np.frombuffer(text, np.uint8)[lo : hi + width - 1]
+    n = hi - lo
+    up, down = powers(len(data) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
+    _, first, of = np.unique((total[width:] - total[:-width]) * down[:n], return_index=True, return_inverse=True)
+    back = np.arange(n) - first[of]  # how far behind the first string of that hash
+    again, later = np.zeros(n, bool), np.zeros(n, bool)
+    edge = np.append(np.flatnonzero(np.diff(back, prepend=-1)), n)
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        d = back[a]
+        if d and np.array_equal(data[a : b + width - 1], data[a - d : b - d + width - 1]):
+            later[a:b] = again[a:b] = again[a - d : b - d] = True
+    return again, [(lo + int(a), lo + int(b)) for a, b in zip(*_spans(~later), strict=True)]
+
+
 class Solver:
     """Collects the distinct pieces of minimizers and solves them block by block."""
 
@@ -213,37 +243,64 @@ class Solver:
         self.width, self.size, self.jobs, self.texts = width, 0, [], []
 
     def add(self, rows: list[tuple]) -> None:
-        """rows of one minimizer: (key, text, places, place, copies, split)."""
-        cut = [(0, len(r[1]) - self.width + 1) for r in rows]
-        if len(rows) > 1 and not rows[0][5] and all(r[2] == 1 for r in rows):
+        """rows of one minimizer: (key, text, places, place, copies)."""
+        starts = [len(r[1]) - self.width + 1 for r in rows]
+        cut = [(0, n) for n in starts]
+        if len(rows) > 1 and all(r[2] == 1 for r in rows):
             cut = trimmed([(r[1], r[3]) for r in rows], self.width)
-        for r, (lo, hi) in zip(rows, cut, strict=True):
-            if hi > lo and (len(rows) > 1 or r[2] > 1 or r[5]):
-                piece = r[1][lo : hi + self.width - 1]
-                self.jobs.append((r, lo, hi, self.size))
-                self.texts.append(piece)
-                self.size += len(piece) + 1
-            elif r[4] > 1:
-                self.jobs.append((r, 0, 0, 0))
+        for (key, text, places, _, copies), n, (lo, hi) in zip(rows, starts, cut, strict=True):
+            flags, ranges = np.zeros(n, bool), [(lo, hi)] if hi > lo and (len(rows) > 1 or places > 1) else []
+            if places > 1 and hi > lo:
+                flags[lo:hi], ranges = repeats_within(text, self.width, lo, hi)
+            if copies > 1:
+                flags[:] = True
+            parts = []
+            for a, b in ranges:
+                parts.append((a, b, self.size))
+                self.texts.append(text[a : b + self.width - 1])
+                self.size += b - a + self.width
+            if parts or copies > 1 or places > 1:
+                self.jobs.append((key, flags, parts))
 
     def solve(self) -> list[tuple]:
-        """(key, begin, end, low, high): repeated starts [begin, end) of a piece (no hashes),
-        and of split minimizers each start with the two halves of its string's hash."""
+        """(key, begins, ends): the repeated starts of each piece that has some."""
         out = []
         flags = repeated_starts(self.texts, self.width) if self.texts else np.empty(0, bool)
-        for (key, text, _, _, copies, split), lo, hi, at in self.jobs:
-            mine = np.zeros(len(text) - self.width + 1, bool)
-            mine[lo:hi] = flags[at : at + hi - lo]
-            if copies > 1:
-                mine[:] = True
-            out += [(key, int(a), int(b), None, None) for a, b in zip(*_spans(mine), strict=True)]
-            for i in range(len(mine) if split else 0):
-                d = hashlib.blake2b(text[i : i + self.width], digest_size=16).digest()
-                out.append((key, i, i + 1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+        for key, mine, parts in self.jobs:
+            for a, b, at in parts:
+                mine[a:b] |= flags[at : at + b - a]
+            if mine.any():
+                out.append((key, *_spans(mine)))
         self.size, self.jobs, self.texts = 0, [], []
         return out
 
 
+def hashed_starts(rows: list[tuple], width: int, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed): the starts of rows (key, text, ...) by hash. Packed entries are the
+    piece's key (16 bytes), the start (8) and the hash of its string (16)."""
+    out: dict[int, list[bytes]] = {}
+    for key, text, *_ in rows:
+        for i in range(len(text) - width + 1):
+            h = hashlib.blake2b(text[i : i + width], digest_size=16).digest()
+            out.setdefault(int.from_bytes(h[:8], "big") % buckets, []).append(key + i.to_bytes(8, "big") + h)
+    return [(k, b"".join(v)) for k, v in out.items()]
+
+
+def equal_starts(packed: list[bytes]) -> list[tuple]:
+    """(key, begins, ends) of the packed starts whose hash is there more than once."""
+    entries = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 40)
+    at = np.ascontiguousarray(entries[:, 16:24]).view(">i8")[:, 0]
+    h = np.ascontiguousarray(entries[:, 24:]).view(">u8")
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    same = (h[order][1:] == h[order][:-1]).all(1)
+    some = order[np.append(same, False) | np.append(False, same)]
+    raw = [entries[i, :16].tobytes() for i in some]
+    by: dict[bytes, list[int]] = {}
+    for k, i in zip(raw, at[some].tolist(), strict=True):
+        by.setdefault(k, []).append(i)
+    return [(k, np.array(v), np.array(v) + 1) for k, v in by.items()]
+
+
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     """Texts without the bytes of strings of ``width`` bytes that start more than once.
 
@@ -254,7 +311,6 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     solved once; texts shorter than ``width`` lose nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
-    hot = HOT or max(2, 4 * BLOCK // (width + gram_size(width)))
     ws = Workspace(spark, "repeats")
     with ws:
         scanned = ws.table(_runs(docs, width), "runs")
@@ -262,10 +318,10 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         texts = ws.table(texts, "texts")
         runs = scanned.where("value is not null").drop("doc_id")
         short = F.xxhash64("text_key")
-        values = runs.select("value", "start", "places", short.alias("of")).groupBy("value").agg(
-            F.min("of").alias("a"), F.max("of").alias("b"), F.min("start").alias("c"), F.max("start").alias("d"), F.max("places").alias("p"), F.count(F.lit(1)).alias("n")
+        values = runs.select("value", "start", "count", "places", short.alias("of")).groupBy("value").agg(
+            F.min("of").alias("a"), F.max("of").alias("b"), F.min("start").alias("c"), F.max("start").alias("d"), F.max("places").alias("p"), F.sum(F.col("count") + (width - 1)).alias("bytes")
         )
-        values = values.where("a <> b or c <> d or p > 1").select("value", F.ceil(F.col("n") / hot).cast("int").alias("split"))
+        values = values.where("a <> b or c <> d or p > 1").select("value", F.ceil(F.col("bytes") / HOT).cast("int").alias("split"))
         hits = runs.join(values, "value").groupBy("text_key").agg(F.collect_set(F.struct("value", "start", "count", "places", "place", "split")).alias("hits"))
         hits = ws.table(hits.join(texts, "text_key").select("first_id", F.col("text_key").alias("of_key"), "hits"), "hits")
         ws.drop("runs")
@@ -275,7 +331,7 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         def emit(batches):
             import pyarrow as pa
 
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             for batch in batches:
                 for lo in range(0, batch.num_rows, 200):
                     part, rows = batch.slice(lo, 200), []
@@ -283,11 +339,11 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                         for h in spans:
                             piece = text[h["start"] : h["start"] + h["count"] + width - 1]
                             own = hashlib.blake2b(piece, digest_size=16).digest()
-                            rows.append((h["value"], int.from_bytes(own[:4], "big") % h["split"], own, key, h["start"], h["places"], h["place"], piece, h["split"] > 1))
+                            rows.append((h["value"], int.from_bytes(own[:4], "big") % h["split"], own, key, h["start"], h["places"], h["place"], piece, h["split"]))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["value", "salt", "piece_key", "text_key", "start", "places", "place", "piece", "split"])
 
-        pieces = ws.table(found.mapInArrow(emit, "value long, salt int, piece_key binary, text_key binary, start long, places long, place long, piece binary, split boolean"), "pieces")
+        pieces = ws.table(found.mapInArrow(emit, "value long, salt int, piece_key binary, text_key binary, start long, places long, place long, piece binary, split int"), "pieces")
         # Equal pieces are summed before they meet: a passage with the same surroundings in
         # any number of documents is one row.
         distinct = pieces.groupBy("value", "salt", "piece_key").agg(F.first("piece").alias("piece"), F.max("places").alias("places"), F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.first("split").alias("split"))
@@ -296,35 +352,64 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         def solve(batches):
             import pyarrow as pa
 
-            solver, group, at, kinds = Solver(width), [], None, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            solver, group, at = Solver(width), [], None
+            types = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary())
+            names = ["piece_key", "begins", "ends", "value", "bucket", "packed"]
 
             def batch_of(rows):
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["piece_key", "begin", "end", "low", "high"])
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+            def hashed(rows, value):
+                """Starts in six buckets a block: an entry has 40 bytes, a start some four of its text's.
+                A piece that stands in several texts repeats as a whole."""
+                whole = [(r[0], [0], [len(r[1]) - width + 1], None, None, None) for r in rows if r[4] > 1]
+                return batch_of([*whole, *((None, None, None, value, k, x) for k, x in hashed_starts(rows, width, 6 * rows[0][5]))])
 
             for batch in batches:
                 columns = [c.to_pylist() for c in batch.columns]
                 for value, salt, *row in zip(*columns, strict=True):
                     if (value, salt) != at:
                         if solver.size and solver.size + sum(len(r[1]) for r in group) > BLOCK:
-                            yield batch_of(solver.solve())
-                        if group:
-                            solver.add(group)
+                            yield batch_of([(*r, None, None, None) for r in solver.solve()])
+                        if group and group[0][5] == 1:
+                            solver.add([r[:5] for r in group])
+                        elif group:
+                            yield hashed(group, at[0])
                         group, at = [], (value, salt)
                     group.append(row)
-            if group:
-                solver.add(group)
-            yield batch_of(solver.solve())
+            if group and group[0][5] == 1:
+                solver.add([r[:5] for r in group])
+            elif group:
+                yield hashed(group, at[0])
+            yield batch_of([(*r, None, None, None) for r in solver.solve()])
 
-        solved = dealt.select("value", "salt", "piece_key", "piece", "places", "place", "copies", "split").mapInArrow(solve, "piece_key binary, begin long, end long, low long, high long")
+        solved = dealt.select("value", "salt", "piece_key", "piece", "places", "place", "copies", "split").mapInArrow(solve, "piece_key binary, begins array<bigint>, ends array<bigint>, value long, bucket int, packed binary")
         solved = ws.table(solved, "solved")
-        # Starts of split minimizers: those whose string is in more than one piece.
-        tested = solved.where("low is not null")
-        shared = tested.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "high")
-        late = tested.join(shared, ["low", "high"]).select("piece_key", "begin", "end")
-        spans = solved.where("low is null").select("piece_key", "begin", "end").unionByName(late)
+
+        def compare(batches):
+            import pyarrow as pa
+
+            packed, at = [], None
+
+            def found():
+                columns = zip(*equal_starts(packed), strict=True) if packed else []
+                columns = [*columns] or [[]] * 3
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["piece_key", "begins", "ends"])
+
+            for batch in batches:
+                for value, bucket, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (value, bucket) != at:
+                        yield found()
+                        packed, at = [], (value, bucket)
+                    packed.append(x)
+            yield found()
+
+        late = solved.where("packed is not null").select("value", "bucket", "packed").repartition("value", "bucket").sortWithinPartitions("value", "bucket")
+        late = late.mapInArrow(compare, "piece_key binary, begins array<bigint>, ends array<bigint>")
+        spans = solved.where("packed is null").select("piece_key", "begins", "ends").unionByName(late)
         spans = pieces.select("piece_key", "text_key", "start").join(spans, "piece_key")
-        spans = spans.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")))).alias("spans"))
+        spans = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "begins", "ends")).alias("spans"))
         known = texts.where("copies > 1").select("text_key", "copies").join(spans, "text_key", "full")
         known = ws.result(known.select(F.col("text_key").alias("of_key"), F.coalesce("copies", F.lit(1)).alias("copies"), "spans"))
         owned = keyed.join(known, F.col("text_key") == F.col("of_key"), "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
@@ -339,8 +424,8 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                     if copies > 1 and len(text) >= width:
                         gone[0], gone[-1] = 1, -1
                     for s in found_spans or ():
-                        gone[s["begin"]] += 1
-                        gone[s["end"] + width - 1] -= 1
+                        np.add.at(gone, np.array(s["begins"]) + s["start"], 1)
+                        np.add.at(gone, np.array(s["ends"]) + (s["start"] + width - 1), -1)
                     flags = np.cumsum(gone[:-1]) > 0
                     n_bytes.append(len(text)), removed.append(int(flags.sum())), n_spans.append(len(_spans(flags)[0]))
                     kept.append(np.frombuffer(text, np.uint8)[~flags].tobytes() if flags.any() else text)

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from helpers import odd_docs, odd_rows
 
 import epigrid.llm.suffix_dedup as suffix_dedup
-from epigrid.llm.suffix_dedup import Solver, minimizer_runs, remove_repeats, repeated_starts
+from epigrid.llm.suffix_dedup import Solver, minimizer_runs, remove_repeats, repeated_starts, repeats_within
 
 
 def starts(texts, width):
@@ -42,10 +43,11 @@ def test_transform_and_minimizers_against_counting(width, alphabet):
             of.setdefault((v, piece), []).append((o, s))
         solver, got = Solver(width), [np.zeros(len(w), bool) for w in want]
         for v, g in groups.items():
-            solver.add([((v, piece), piece, p, q, n, False) for piece, (p, q, n) in g.items()])
-        for key, a, b, _, _ in solver.solve():
+            solver.add([((v, piece), piece, p, q, n) for piece, (p, q, n) in g.items()])
+        for key, begins, ends in solver.solve():
             for o, s in of[key]:
-                got[o][s + a : s + b] = True
+                for a, b in zip(begins, ends, strict=True):
+                    got[o][s + a : s + b] = True
         assert all((g == w).all() for g, w in zip(got, want, strict=True))
 
 
@@ -61,9 +63,10 @@ def brute(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [None, 2])
-def test_removal_against_counting(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 2: nearly all groups are split over blocks
+@pytest.mark.parametrize(("hot", "long"), [(1 << 20, 1 << 20), (70, 1 << 20), (1 << 20, 128), (70, 100)])
+def test_removal_against_counting(spark, monkeypatch, hot, long):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 70: all groups of two runs are split over tasks
+    monkeypatch.setattr(suffix_dedup, "LONG", long)  # 128: most texts are scanned in stretches
     rows = [(r[0], r[1][:3000] if r[1] else r[1], *r[2:]) for r in odd_rows()]
     base = "Passage that many documents share, with its own words 0123456789. " * 3
     rows += [(1000 + i, f"{i * 7919} before {i} " + base[: 60 + 9 * i] + f" after {i * i}", None, None, 0, 1, 2.0, 3, 4, 5, "v", "h") for i in range(15)]
@@ -75,3 +78,21 @@ def test_removal_against_counting(spark, monkeypatch, hot):
 
 def test_empty_table(spark):
     assert remove_repeats(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_strings_within_a_piece_enter_once():
+    for text in (b"a" * 300, b"abc" * 100, b"xyz" + b"abcd" * 50 + b"q", bytes(range(200)), b"ab" * 30 + b"ba" * 30):
+        n = len(text) - 9
+        again, ranges = repeats_within(text, 10, 0, n)
+        count = Counter(text[i : i + 10] for i in range(n))
+        assert again.tolist() == [count[text[i : i + 10]] > 1 for i in range(n)]
+        once = [text[i : i + 10] for a, b in ranges for i in range(a, b)]
+        assert sorted(once) == sorted(count)
+
+
+def test_long_periodic_texts_take_seconds(spark):
+    rows = [(1, "a" * 5_000_000), (2, "xyz " * 500_000), (3, "b" + "a" * 400 + "c"), (4, "d" + "a" * 399 + "e")]
+    began = time.time()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=400).collect()}
+    assert got == {1: (5_000_000, 5_000_000, 1), 2: (2_000_000, 2_000_000, 1), 3: (402, 400, 1), 4: (401, 0, 0)}
+    assert time.time() - began < 60
