@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 from .tokens import token_ids
 
-SALTS = 64
+RANKED = 200_000  # pieces of one length that are ranked in one group
+BROADCAST_SHARES = 100_000  # groups whose first ranks are broadcast; more are joined
 
 
 # The plan over the histogram of lengths.
@@ -220,22 +221,28 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     spark = docs.sparkSession
     with Workspace(spark, "packing") as ws:
         pieces = ws.table(tokenized_pieces(docs, vocabulary, capacity, end_id), "pieces")
-        salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-        share = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-        before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-        share = ws.table(share.select("length", "salt", "n", before.alias("first")), "shares")  # at most capacity * SALTS rows
         counts = np.zeros(capacity + 1, np.int64)
-        for r in share.groupBy("length").agg(F.sum("n").alias("n")).collect():
+        for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most capacity rows
             counts[r["length"]] = r["n"]
+        # A length is ranked in as many groups as it has pieces for, so none of them grows.
+        salts = spark.createDataFrame([(int(x), int(-(-counts[x] // RANKED))) for x in np.flatnonzero(counts)], "length long, salts long")
+        salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
+        share = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
+        share = ws.table(share.select("length", "salt", "n", before.alias("first")), "shares")  # capacity + pieces / RANKED rows
         plan = packing_plan(counts, capacity, groups)
         order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
         ranked = salted.withColumn("rank", F.row_number().over(order) - 1)
-        ranked = ranked.join(F.broadcast(share.drop("n")), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
+        few = share.drop("n")
+        few = F.broadcast(few) if int(counts.sum()) <= RANKED * BROADCAST_SHARES else few
+        ranked = ranked.join(few, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
         starts = {int(x): np.flatnonzero(plan[:, 0] == x) for x in np.unique(plan[:, 0])}
+        known = spark.sparkContext.broadcast((plan, starts))
 
         def find(batches):
             import pyarrow as pa
 
+            plan, starts = known.value
             for batch in batches:
                 length, rank = (np.asarray(batch.column(i), dtype=np.int64) for i in (3, 5))
                 row = np.empty(len(length), np.int64)
