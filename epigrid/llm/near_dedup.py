@@ -7,10 +7,12 @@ more as it takes to come next to each other. Each dense region also has a hub, a
 with its commonest key, that all its members are held against, since many copies of one
 text may be alike to it and yet not to each other. Candidates are confirmed on full sets.
 
-What the forest leaves in different components is then joined exactly: two sets that are
-alike share a shingle among the rarest of each (a prefix filter), so all pairs of different
-components that do, and whose sizes and places allow the similarity, are candidates too,
-without a cap on partners.
+What the forest leaves in different components is then joined: two sets that are alike share
+a shingle among the rarest of each (a prefix filter), so all pairs of different components
+that do are tested too, without a cap on partners. The tests run inside the tasks, on blocks
+of the sets of one shingle, so that only pairs come out which sizes, places and a sketch of
+the min-hashes allow, each once or little more often. Only the sketch may err, and loses a
+pair of similarity 0.8 with a chance below 1e-8.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import Workspace, as_bytes, blocks, shingle_hashes, word_hashes
 HASH_BYTES = 6  # of each shingle's hash, in the sets on which links are confirmed
 SAMPLE, COMMON = 10_000, 500_000  # documents that tell which shingles are common, and how many such shingles are sent
 BLOCK = 512  # sets of one shingle that are joined with each other in one group
+BEFORE = 8  # so many of a set's last shared shingles tell whether a pair has been met before
+SIGMAS = 6.0  # by so many standard deviations a sketch may show less than the similarity asked for
 
 
 class Forest:
@@ -45,6 +49,16 @@ class Forest:
             np.minimum(low, (x[k : k + 2048, None] * self.a + self.b).min(0), out=low)
         return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2").tobytes()
 
+    def sketch(self, signature: bytes) -> bytes:
+        """Two bits of every min-hash."""
+        x = (np.frombuffer(signature, ">u2") & 3).astype(np.uint8).reshape(-1, 4)
+        return (x[:, 0] | x[:, 1] << 2 | x[:, 2] << 4 | x[:, 3] << 6).tobytes()
+
+    def least_matches(self, percent: int) -> float:
+        """Entries of two sketches that agree at least, for sets of that similarity."""
+        n, p = len(self.a), percent / 100 + (1 - percent / 100) / 4
+        return n * p - SIGMAS * (n * p * (1 - p)) ** 0.5
+
     def candidates(self, tree: np.ndarray, keys: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows to compare, of rows sorted by tree and key: neighbours that share the least
         depth, and in each region of more rows than those its hub with all the others."""
@@ -97,20 +111,21 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int, forest: Forest) -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature) of every row."""
+    """(doc_id, n_shingles, set_id, signature, sketch) of every row."""
 
     def sign(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n, key, signature = [], [], []
+            n, key, signature, sketch = [], [], [], []
             for s in shingle_sets(as_bytes(batch.column(1)), width):
                 n.append(len(s))
                 key.append(set_id(s) if len(s) else None)
                 signature.append(forest.signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signature, pa.binary())], names=["doc_id", "n_shingles", "set_id", "signature"])
+                sketch.append(forest.sketch(signature[-1]) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signature, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "set_id", "signature", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_id long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_id long, signature binary, sketch binary")
 
 
 def _candidates(ws: Workspace, reps: DataFrame, forest: Forest, percent: int) -> DataFrame:
@@ -222,21 +237,112 @@ def _prefixes(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFra
     return docs.select("text").mapInArrow(rarest, form).repartition("shingle").sortWithinPartitions("shingle", "set_id").mapInArrow(shared, form)
 
 
-def _apart(ws: Workspace, prefixes: DataFrame, part: DataFrame, percent: int) -> DataFrame:
-    """(a, b, trees): the pairs of sets of different components that may be alike, a < b, and
-    how many of their rarest shingles they share. A shingle of many sets is dealt in blocks."""
+class Meeting:
+    """Pairs to test among the sets of one shingle (or of two blocks of them)."""
+
+    SMALL = 16  # groups of so many rows are taken together
+
+    def __init__(self, forest: Forest, percent: int):
+        self.percent, self.least = percent, forest.least_matches(percent)
+
+    def tested(self, a: np.ndarray, b: np.ndarray, rows: list):
+        """The pairs of rows, of different components, that sizes, places and sketches allow
+        and that share none of the shingles before this one; and how many sketch entries agree."""
+        _, x, y, salt, _, component, size, at, sketch, before = rows
+        ok = component[a] != component[b]
+        a, b = a[ok], b[ok]
+        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        left = np.minimum(size[a] - at[a], size[b] - at[b])  # in common at most
+        ok = (100 * small >= self.percent * large) & ((100 + self.percent) * left >= self.percent * (small + large))
+        ok &= (x[a] == y[a]) | (salt[a] != salt[b])
+        a, b = a[ok], b[ok]
+        found = [[np.empty(0, np.int64)] * 3]
+        for k in range(0, len(a), 1 << 16):
+            i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            other = sketch[i] ^ sketch[j]
+            other = (other | other >> np.uint64(1)) & np.uint64(0x5555555555555555)
+            matches = 32 * sketch.shape[1] - np.bitwise_count(other).sum(1).astype(np.int64)
+            good = matches >= self.least
+            i, j, matches = i[good], j[good], matches[good]
+            seen = before[i]
+            fresh = ~((seen[:, :, None] == before[j][:, None, :]) & (seen != 0)[:, :, None]).any((1, 2))
+            found.append([i[fresh], j[fresh], matches[fresh]])
+        return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+    def pairs(self, rows: list, first: np.ndarray, end: np.ndarray):
+        """All tested pairs of the groups of rows [first, end)."""
+        component, many = rows[5], end - first
+        for_small = many <= self.SMALL
+        rest = np.repeat(end, many) - np.arange(len(component))  # rows of the group from each on
+        small = np.repeat(for_small, many)
+        out = [[np.empty(0, np.int64)] * 3]
+        for gap in range(1, self.SMALL):
+            a = np.flatnonzero(small & (rest > gap))
+            if not len(a):
+                break
+            out.append(self.tested(a, a + gap, rows))
+        for lo, hi in zip(first[~for_small], end[~for_small], strict=True):
+            _, of = np.unique(component[lo:hi], return_inverse=True)
+            # One of a pair at least is outside the largest component.
+            largest = np.bincount(of).argmax()
+            few = np.flatnonzero(of != largest)
+            step = max(1, (1 << 19) // (hi - lo))
+            for k in range(0, len(few), step):
+                a, b = (lo + x.ravel() for x in np.meshgrid(few[k : k + step], np.arange(hi - lo), indexing="ij"))
+                once = (of[b - lo] == largest) | (a < b)
+                out.append(self.tested(a[once], b[once], rows))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def _apart(ws: Workspace, prefixes: DataFrame, reps: DataFrame, part: DataFrame, forest: Forest, percent: int) -> DataFrame:
+    """(a, b, trees): pairs of sets of different components that may be alike, a < b, and how
+    many entries of their sketches agree. A shingle of many sets is dealt in blocks."""
     named = ws.table(prefixes.join(part.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "named")
     lists = named.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi").select("shingle", "many")
+    rows = named.join(lists, "shingle").join(reps.select("set_id", "sketch"), "set_id")
+    own = Window.partitionBy("set_id").orderBy("at")
+    rows = rows.select("*", F.array(*[F.coalesce(F.lag("shingle", i + 1).over(own), F.lit(0)) for i in range(BEFORE)]).alias("before"))
     k = F.ceil(F.col("many") / BLOCK).cast("int")
-    dealt = named.join(lists, "shingle").withColumn("salt", F.pmod(F.xxhash64("set_id"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-    dealt = ws.table(dealt.select("shingle", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "salt", "set_id", "component", "n", "at"), "dealt")
-    one, two = (dealt.withColumnsRenamed({c: f"{c}{e}" for c in ("salt", "set_id", "component", "n", "at")}) for e in "ab")
-    may = f"100L * least(na, nb) >= {percent}L * greatest(na, nb)"
-    meet = one.hint("merge").join(two, ["shingle", "x", "y"]).where(f"set_ida < set_idb and componenta <> componentb and (x = y or salta <> saltb) and {may}")
-    met = meet.groupBy(F.col("set_ida").alias("a"), F.col("set_idb").alias("b")).agg(F.count(F.lit(1)).alias("trees"), F.max(F.expr("least(na - ata, nb - atb)")).alias("left"), F.first(F.expr("greatest(na, nb)")).alias("larger"), F.first(F.expr("na + nb")).alias("both"))
-    # At most so many in common: from the first common one on; and those met, with all of one set behind its prefix.
-    most = F.expr(f"least(left, trees + ceil({percent}L * larger / 100) - 1)")
-    return ws.table(met.where(most * (100 + percent) >= percent * F.col("both")).select("a", "b", "trees"), "apart")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("set_id"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    dealt = dealt.select("shingle", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "salt", "set_id", "component", "n", "at", "sketch", "before")
+    dealt = dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "set_id")
+
+    def meet(batches):
+        import pyarrow as pa
+
+        meeting, held = Meeting(forest, percent), None
+        names = ["a", "b", "trees"]
+
+        def columns(batch):
+            numbers = [np.asarray(batch.column(i), dtype=np.int64) for i in range(8)]
+            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            return [*numbers, sketch, np.asarray(batch.column(9).flatten(), dtype=np.int64).reshape(batch.num_rows, BEFORE)]
+
+        def solve(rows, last: bool):
+            """Pairs of all whole groups of rows, and the rows of the last, unless it is the end."""
+            key = np.column_stack(rows[:3])
+            edge = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
+            ends = np.append(edge[1:], len(key))
+            if not last:
+                edge, ends, rest = edge[:-1], ends[:-1], edge[-1]
+            else:
+                rest = len(key)
+            a, b, m = meeting.pairs([x[:rest] for x in rows], edge, ends)
+            i, j = rows[4][a], rows[4][b]
+            a, b = np.minimum(i, j), np.maximum(i, j)
+            both, at = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(m[at])], names=names), [x[rest:] for x in rows]
+
+        for batch in batches:
+            if batch.num_rows:
+                now = columns(batch)
+                got, held = solve([np.concatenate(x) for x in zip(held, now, strict=True)] if held else now, False)
+                yield got
+        if held:
+            yield solve(held, True)[0]
+
+    met = dealt.mapInArrow(meet, "a long, b long, trees long")
+    return ws.table(met.groupBy("a", "b").agg(F.max("trees").alias("trees")), "apart")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -372,12 +478,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest:
     with Workspace(spark, "near") as ws:
         signed = ws.table(_signed(docs, width, forest), "signed")
         whole = signed.where("set_id is not null and doc_id is not null")
-        reps = whole.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        reps = whole.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
         reps = ws.table(reps, "reps")
         links, part = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
         links, part = _settled(ws, docs, reps, width, percent, strongest, _candidates(ws, reps, forest, percent), links, part, "forest")
         prefixes = _prefixes(docs.where("doc_id is not null"), signed.count(), width, percent)
-        _, part = _settled(ws, docs, reps, width, percent, strongest, _apart(ws, prefixes, part, percent), links, part, "exact")
+        _, part = _settled(ws, docs, reps, width, percent, strongest, _apart(ws, prefixes, reps, part, forest, percent), links, part, "exact")
         named = reps.select("set_id", "rep").join(part, F.col("set_id") == F.col("id"), "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
         names = ws.table(named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "component_id"), "names")
         out = signed.join(names, "set_id", "left")
