@@ -86,9 +86,11 @@ class Apart:
         self.names = df.columns
         self.df = df.toDF(*[f"own_{i}" for i in range(len(self.names))])
 
+    def at(self, name: str) -> str:
+        return f"own_{[n.lower() for n in self.names].index(name.lower())}"
+
     def __getitem__(self, name: str):
-        low = [n.lower() for n in self.names]
-        return F.col(f"own_{low.index(name.lower())}")
+        return F.col(self.at(name))
 
     def back(self, df: DataFrame, changed: dict | None = None, more: dict | None = None, without: tuple = ()) -> DataFrame:
         """df's own columns under their former names, those in ``changed`` with new values,
