@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.nulls import finite, holds, require_columns
+from .sets import small
 
 
 def mark_reasons(df: DataFrame, rules: list[tuple[str, object]], duplicate: tuple[str, list, str] | None = None, out: str = "exclusion_reason") -> DataFrame:
@@ -65,7 +66,7 @@ def clean_weekly_observations(df: DataFrame, weeks: DataFrame, inside=None, year
     """Records dated by week, with the reason for which each goes; weeks is the study's
     week index (few rows)."""
     known = weeks.select(F.col("epiyear").alias("_y"), F.col("epiweek").alias("_w")).distinct()
-    df = df.join(F.broadcast(known), (F.col(year) == F.col("_y")) & (F.col(week) == F.col("_w")), "left")
+    df = df.join(small(known), (F.col(year) == F.col("_y")) & (F.col(week) == F.col("_w")), "left")
     domain = F.lit(False) if inside is None else ~F.coalesce(inside, F.lit(False))
     rules = [
         ("invalid_year_week", ~holds((F.col(year) > 0) & F.col(week).between(1, 53))),
@@ -88,7 +89,7 @@ def with_hosts(df: DataFrame, lookup: DataFrame, host: str = "host") -> DataFram
     """host_cleaned, host_standardized, host_group, multiple_host_flag: by the lookup's
     (unique) cleaned name, else by the fixed classes, else "unknown"."""
     require_columns(lookup, ["host_cleaned", "host_standardized", "host_group", "multiple_host_flag"], "host lookup")
-    df = df.withColumn("host_cleaned", text.clean_host(host)).join(F.broadcast(lookup), "host_cleaned", "left")
+    df = df.withColumn("host_cleaned", text.clean_host(host)).join(small(lookup), "host_cleaned", "left")
     missing, by_class = F.col("host_standardized").isNull(), text.host_class("host_cleaned").otherwise(F.lit(None))
     group = F.when(missing & by_class.isNotNull(), text.host_group(by_class)).otherwise(F.col("host_group"))
     several = F.when(missing, text.multiple_hosts("host_cleaned")).otherwise(F.col("multiple_host_flag"))

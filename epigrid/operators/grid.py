@@ -71,6 +71,35 @@ def extraction_audit(extracted: DataFrame, by: list[str]) -> DataFrame:
     return extracted.groupBy(*by).agg(n("direct"), n("fallback"), n("unresolved"), F.min("distance_km").alias("min_km"), F.percentile("distance_km", F.lit(0.5)).alias("median_km"), F.max("distance_km").alias("max_km"), F.array_join(F.array_sort(F.collect_set("distance_class")), ";").alias("distance_classes"))
 
 
+def missing_diagnostics(extracted: DataFrame, stack: DataFrame, grid: Grid, variable: str, scope: str = "dynamic", x: str = "x", y: str = "y") -> DataFrame:
+    """A row for each unresolved row of ``extract_with_fallback``: what was tried, the nearest
+    valid cell however far it is known, and the raster it was sought in. stack: cell_id, value."""
+    place = grid.cell(x, y)
+    known = stack.where(finite("value")).select(F.col("cell_id").alias("_cell"), F.col("value").alias("_at"))
+    cells = known.agg(F.count(F.lit(1)).alias("raster_valid_cells"))
+    missing = extracted.where(F.col("method") == "unresolved").withColumn("_place", place).join(known, F.col("_place") == F.col("_cell"), "left").crossJoin(F.broadcast(cells))
+    nx, ny = grid.center("nearest_cell")
+    fixed = {
+        "variable": variable, "scope": scope, "fallback_attempted": True, "raster_nrow": grid.rows, "raster_ncol": grid.cols, "raster_resolution_x": (grid.xmax - grid.xmin) / grid.cols, "raster_resolution_y": (grid.ymax - grid.ymin) / grid.rows,
+        "raster_xmin": grid.xmin, "raster_xmax": grid.xmax, "raster_ymin": grid.ymin, "raster_ymax": grid.ymax,
+    }
+    keep = [c for c in ("row_id", "poly_id", "epiyear", "epiweek") if c in extracted.columns]
+    return missing.select(
+        *keep, F.col(x).alias("x"), F.col(y).alias("y"), *[F.lit(v).alias(k) for k, v in fixed.items()], F.col("distance_km").alias("fallback_distance_km"), distance_bin("distance_km").alias("nearest_distance_bin"), nx.alias("nearest_valid_x"), ny.alias("nearest_valid_y"),
+        F.col("_place").isNotNull().alias("point_inside_raster_extent"), F.col("_at").alias("point_cell_value"), "raster_valid_cells",
+    )
+
+
+def weekly_covariates(rows: DataFrame, values: DataFrame, keys: list[str], variables: list[str], policy: str = "retain") -> tuple[DataFrame, DataFrame]:
+    """``join_covariates`` for weekly variables, and (epiyear, epiweek, variable, rows, missing).
+    ``policy``: "retain" keeps rows without a value, "fail" raises on one."""
+    joined = join_covariates(rows, values, keys, variables)
+    counts = joined.groupBy("epiyear", "epiweek").agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(~finite(v), 1)).alias(v) for v in variables]).unpivot(["epiyear", "epiweek", "rows"], variables, "variable", "missing")
+    if policy == "fail" and counts.where("missing > 0").take(1):
+        raise ValueError(f"missing values among {variables}")
+    return joined, counts
+
+
 def join_covariates(rows: DataFrame, values: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
     """Long covariates (variable, keys, value) as one column a variable beside rows."""
     wide = values.groupBy(*keys).pivot("variable", variables).agg(F.first("value"))
@@ -135,11 +164,18 @@ def stability(stack: DataFrame) -> DataFrame:
 
 def distribution_profile(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """(measure, by..., n, nonfinite, min, q01..q99, mean, max), by group and overall (by
-    null): grouping sets over the unpivoted measures."""
+    null), over the unpivoted measures."""
+    from .metrics import exact_quantiles
+
     long = df.unpivot(by, columns, "measure", "v").withColumn("ok", F.when(finite("v"), F.col("v").cast("double")))
     probs = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
-    sets = long.groupingSets([["measure"], ["measure", *by]], "measure", *by)
-    return sets.agg(F.count("ok").alias("n"), (F.count(F.lit(1)) - F.count("ok")).alias("nonfinite"), F.min("ok").alias("min"), *[F.percentile("ok", F.lit(p)).alias(n) for n, p in probs.items()], F.avg("ok").alias("mean"), F.max("ok").alias("max"))
+    parts = []
+    for keys in (["measure"], ["measure", *by]):
+        plain = long.groupBy(*keys).agg(F.count("ok").alias("n"), (F.count(F.lit(1)) - F.count("ok")).alias("nonfinite"), F.min("ok").alias("min"), F.avg("ok").alias("mean"), F.max("ok").alias("max"))
+        quantiles = exact_quantiles(long, "ok", probs, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+        both = plain.join(quantiles, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+        parts.append(both.select("measure", *[F.col(k) if k in keys else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in by], "n", "nonfinite", "min", *probs, "mean", "max"))
+    return parts[0].unionByName(parts[1])
 
 
 def extent_audit(points: DataFrame, grid: Grid, template: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ HOST_PATTERNS = [
     ("equin", "Horse", "Equids"), ("burro", "Donkey", "Equids"), ("canin|carin", "Dog", "Companion Animals"), ("felin", "Cat", "Companion Animals"), ("human", "Human", "Human"),
     ("bird|ave|aviar|ardeid", "Birds", "Birds"), ("kinkaju", "Kinkajou", "Wildlife"), ("sloth|perezos", "Sloth", "Wildlife"), ("porcupin|porcuspin", "Porcupine", "Wildlife"), ("rabbit|lapine|leporid", "Rabbit/Hare", "Wildlife"),
     ("procyonlotor", "Raccoon", "Wildlife"), ("deer|crvido", "Deer", "Wildlife"), ("leon|lion", "Lion", "Wildlife"), ("leopard", "Leopard", "Wildlife"), ("wildterrestrial|faunasilvestre", "Unspecified Wildlife", "Wildlife"), ("other|unknown", "Unreported", "Unreported"),
+    ("monkey", "Monkey", "Wildlife"), ("wildlife", "Unspecified Wildlife", "Wildlife"), ("avian", "Birds", "Birds"),
 ]
 # Fixed value: the order of the broad groups.
 GROUP_ORDER = ["Livestock", "Equids", "Companion Animals", "Human", "Wildlife", "Birds", "Unreported"]

@@ -34,6 +34,32 @@ def cumulative_scores(df: DataFrame, score: str, weights: dict[str, Column]) ->
     return out.select(score, *weights, *[(F.col(f"{n}_before") + F.col(f"_{n}")).alias(f"{n}_before") for n in weights])
 
 
+def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by..., name...): exact type 7 quantiles of the finite values of each group (a null is a
+    group of its own), without a group's values ever meeting in one task: rows are first
+    counted by distinct value, a group's values are dealt to ranges, and the ranges' totals
+    carried on."""
+    by = by or []
+    v = F.col(value) if isinstance(value, str) else value
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(1))
+    counts = df.select(key.alias("_key"), v.cast("double").alias("_v")).where(finite("_v")).groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    splits = counts.groupBy("_key").agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_splits"))
+    placed = counts.join(splits, "_key").withColumn("_range", F.size(F.filter("_splits", lambda s: s <= F.col("_v")))).drop("_splits")
+    totals = placed.groupBy("_key", "_range").agg(F.sum("_c").alias("_t"))  # at most RANGES rows a group
+    whole = Window.partitionBy("_key")
+    carried = totals.select("_key", "_range", (F.sum("_t").over(whole.orderBy("_range")) - F.col("_t")).alias("_base"), F.sum("_t").over(whole).alias("_n"))
+    inside = Window.partitionBy("_key", "_range").orderBy("_v")
+    ranked = placed.join(carried, ["_key", "_range"]).withColumn("_before", F.col("_base") + F.sum("_c").over(inside) - F.col("_c"))
+    at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_c")), F.col("_v")))
+    ends = []
+    for i, p in enumerate(probs.values()):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        ends += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"), F.first(h - F.floor(h)).alias(f"_f{i}")]
+    out = ranked.groupBy("_key").agg(*ends)
+    named = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(probs)]
+    return out.select(*[F.col("_key")[c].alias(c) for c in by], *named)
+
+
 def average_rank(df: DataFrame, column: str, out: str, partition: list[str] | None = None, count: str | None = None) -> DataFrame:
     """df with 1-based ranks, the mean rank for ties; rows without a finite value get null.
     count names a column for the number of ranked rows."""
@@ -78,10 +104,9 @@ def same_week_percentiles(presences: DataFrame, background: DataFrame, score: st
 def percentile_summary(df: DataFrame, value: str) -> DataFrame:
     """(metric, value): count, moments, quantiles and shares above .5, .75, .9."""
     v = F.col(value)
-    one = df.where(finite(value)).agg(
-        F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), *[F.percentile(v, F.lit(p)).alias(n) for n, p in (("p05", 0.05), ("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))],
-        F.max(v).alias("max"), *[F.avg((v > t).cast("double")).alias(f"above_{int(100 * t)}") for t in (0.5, 0.75, 0.9)],
-    )
+    one = df.where(finite(value)).agg(F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), *[F.avg((v > t).cast("double")).alias(f"above_{int(100 * t)}") for t in (0.5, 0.75, 0.9)])
+    quantiles = exact_quantiles(df, value, {"p05": 0.05, "p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
+    one = one.join(F.broadcast(quantiles), F.lit(True), "left")  # one row each
     return one.unpivot([], one.columns, "metric", "value")
 
 
@@ -102,7 +127,11 @@ def boyce_curve(presences: DataFrame, background: DataFrame, score: str, weight:
     half = (F.col("hi") - F.col("lo")) * width_fraction / 2
     frames = spark.range(1, windows + 1).withColumnRenamed("id", "window_id").crossJoin(F.broadcast(whole)).withColumns({"midpoint": middle, "lower": middle - half, "upper": middle + half})
     frames = F.broadcast(frames)  # one row a window
-    sums = rows.join(frames, (F.col("s") >= F.col("lower")) & (F.col("s") <= F.col("upper"))).groupBy("window_id").agg(F.sum("p").alias("n_presences"), F.sum("b").alias("n_background"), F.sum("w").alias("background_weight"))
+    # Each score goes to the some width_fraction * windows that it may lie in, and is tested there.
+    step = (F.col("hi") - F.col("lo")) / (windows - 1)
+    first, last = (F.col("s") - half - F.col("lo")) / step, (F.col("s") + half - F.col("lo")) / step
+    spread = rows.crossJoin(F.broadcast(whole.select("lo", "hi"))).select("s", "p", "b", "w", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(first)).cast("long"), F.least(F.lit(windows), F.ceil(last) + 2).cast("long"))).alias("window_id"))
+    sums = spread.join(frames.select("window_id", "lower", "upper"), "window_id").where((F.col("s") >= F.col("lower")) & (F.col("s") <= F.col("upper"))).groupBy("window_id").agg(F.sum("p").alias("n_presences"), F.sum("b").alias("n_background"), F.sum("w").alias("background_weight"))
     curve = frames.join(sums, "window_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_presences", "n_background", "background_weight")})
     curve = curve.withColumn("expected", F.col("background_weight") / F.col("all_w")).withColumn("p_over_e", F.when(F.col("expected") > 0, F.col("n_presences") / F.col("all_p") / F.col("expected")))
     before = F.lag("p_over_e").over(Window.partitionBy(F.col("p_over_e").isNull()).orderBy("window_id"))
@@ -123,12 +152,20 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def error_metrics(df: DataFrame, observed: str, predicted: str) -> DataFrame:
-    """One row: n, mae, rmse, pearson, spearman, mean observed/expected."""
-    both = df.where(finite(observed) & finite(predicted))
-    o, p = F.col(observed), F.col(predicted)
+    """One row: n, mae, rmse, pearson, spearman, mean observed/expected. Ranks are those of
+    pairs of values with their counts, so a common value is a few rows."""
+    o, p = F.col("_o"), F.col("_p")
+    both = df.where(finite(observed) & finite(predicted)).select(F.col(observed).cast("double").alias("_o"), F.col(predicted).cast("double").alias("_p"))
     basic = both.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(o - p)).alias("mae"), F.sqrt(F.avg((o - p) * (o - p))).alias("rmse"), F.corr(o, p).alias("pearson"), (F.avg(o) / F.nullif(F.avg(p), F.lit(0.0))).alias("mean_ratio"))
-    ranked = average_rank(average_rank(both.select(o.alias("_o"), p.alias("_p")), "_o", "_ro"), "_p", "_rp")
-    return basic.crossJoin(F.broadcast(ranked.agg(F.corr("_ro", "_rp").alias("spearman"))))
+    pairs = both.groupBy("_o", "_p").agg(F.count(F.lit(1)).alias("_k"))
+    ranked = pairs
+    for column, out in (("_o", "_ro"), ("_p", "_rp")):
+        scores = cumulative_scores(pairs, column, {"_c": F.col("_k")}).select(F.col(column).alias("_s"), (F.col("_c_before") + (F.col("_c") + 1) / 2).alias(out))
+        ranked = ranked.join(scores, F.col(column) == F.col("_s")).drop("_s")
+    ranked = ranked.crossJoin(F.broadcast(both.agg(((F.count(F.lit(1)) + 1) / 2).alias("_m"))))  # the mean of all ranks
+    x, y, k = F.col("_ro") - F.col("_m"), F.col("_rp") - F.col("_m"), F.col("_k")
+    spread = F.sqrt(F.sum(k * x * x) * F.sum(k * y * y))
+    return basic.crossJoin(F.broadcast(ranked.agg((F.sum(k * x * y) / F.nullif(spread, F.lit(0.0))).alias("spearman"))))
 
 
 def brier_log_loss(df: DataFrame, label: str, probability: str, clip: float = 1e-12) -> DataFrame:
@@ -163,25 +200,38 @@ def logistic_calibration(df: DataFrame, label: str, probability: str, steps: int
     return float(beta[0]), float(beta[1])
 
 
+#: Rows of one score that are ranked together; more are dealt to ranges of their ids.
+TIED = 100_000
+
+
 def equal_frequency_bins(df: DataFrame, predicted: str, observed: str, row_id: str, bins: int) -> DataFrame:
     """(bin, n, mean_predicted, mean_observed, sum_observed): floor((r - 1) * b / n) + 1 of
-    the rank r by prediction and row id, with b at most n bins."""
+    the rank r by prediction and row id (a number), with b at most n bins."""
     rows = df.where(finite(predicted))
-    ties = F.row_number().over(Window.partitionBy(predicted).orderBy(row_id)) - 1
+    hot = rows.groupBy(predicted).agg(F.count(F.lit(1)).alias("_c"), F.percentile_approx(row_id, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts")).where(F.col("_c") > TIED)
+    hot = hot.select(F.col(predicted).alias("_h"), "_cuts")  # at most rows / TIED
+    dealt = rows.join(F.broadcast(hot), rows[predicted] == hot["_h"], "left").drop("_h")
+    dealt = dealt.withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(row_id))))).drop("_cuts")
+    parts = dealt.groupBy(predicted, "_part").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy(predicted).orderBy("_part")) - F.col("_k")
+    parts = parts.select(F.col(predicted).alias("_s2"), F.col("_part").alias("_p2"), before.alias("_first"))
+    ties = F.row_number().over(Window.partitionBy(predicted, "_part").orderBy(row_id)) - 1
     scores = cumulative_scores(rows, predicted, {"_c": F.lit(1)}).select(F.col(predicted).alias("_s"), "_c_before")
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rows.withColumn("_t", ties).join(scores, rows[predicted] == scores["_s"]).crossJoin(F.broadcast(n))
+    ranked = dealt.withColumn("_t", ties).join(parts, (dealt[predicted] == parts["_s2"]) & (F.col("_part") == F.col("_p2"))).join(scores, dealt[predicted] == scores["_s"]).crossJoin(F.broadcast(n))
     b = F.least(F.lit(bins), F.col("_n"))
-    ranked = ranked.withColumn("bin", (F.floor((F.col("_c_before") + F.col("_t")) * b / F.col("_n")) + 1).cast("int"))
+    ranked = ranked.withColumn("bin", (F.floor((F.col("_c_before") + F.col("_first") + F.col("_t")) * b / F.col("_n")) + 1).cast("int"))
     return ranked.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(predicted).alias("mean_predicted"), F.avg(observed).alias("mean_observed"), F.sum(observed).alias("sum_observed"))
 
 
 def reconstruction_audit(df: DataFrame, by: list[str], expected: str, actual: str, rmse: float = 1e-8, median: float = 1e-10, most: float = 1e-6) -> DataFrame:
+    """Error moments, quantiles and tolerances of actual against expected, a row a group."""
     e = F.col(actual) - F.col(expected)
     a = F.abs(e)
-    out = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean_error"), F.avg(a).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(a, F.lit(0.5)).alias("median_abs"), F.percentile(a, F.lit(0.95)).alias("q95_abs"), F.percentile(a, F.lit(0.99)).alias("q99_abs"), F.max(a).alias("max_abs")
-    )
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean_error"), F.avg(a).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max(a).alias("max_abs"))
+    quantiles = exact_quantiles(df, a, {"median_abs": 0.5, "q95_abs": 0.95, "q99_abs": 0.99}, by).withColumnsRenamed({c: f"_{c}" for c in by})
+    out = out.join(quantiles, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*[f"_{c}" for c in by])
+    out = out.select(*by, "n", "mean_error", "mae", "rmse", "median_abs", "q95_abs", "q99_abs", "max_abs")
     return out.withColumns({"rmse_ok": F.col("rmse") <= rmse, "median_ok": F.col("median_abs") <= median, "max_ok": F.col("max_abs") <= most})
 
 

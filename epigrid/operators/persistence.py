@@ -9,6 +9,7 @@ from ..functions.nulls import finite, holds
 from ..functions.numbers import masked_by_temperature, persistence_class, persistence_index
 from ..functions.places import Grid
 from .grid import same_week_values
+from .sets import small
 
 
 def potential_abundance(df: DataFrame, intensity: str, area: float, out: str = "abundance") -> DataFrame:
@@ -37,7 +38,7 @@ def dynamic_threshold(observations: DataFrame, stack: DataFrame, week: list[str]
     count), with how many observations were used and why others were not."""
     weeks = stack.select(*week).distinct().withColumn("_w", F.lit(True))
     support = stack.where(finite("value")).select("cell_id").distinct().withColumn("_s", F.lit(True))
-    paired = same_week_values(observations, stack, week).join(F.broadcast(weeks), week, "left").join(support, "cell_id", "left")
+    paired = same_week_values(observations, stack, week).join(small(weeks), week, "left").join(support, "cell_id", "left")
     used = finite("value")
     inside = F.col("cell_id").isNotNull()
     return paired.agg(
@@ -81,7 +82,7 @@ def transitions(before: DataFrame, after: DataFrame, cell: str = "cell_id", colu
 
 def threshold_sweep(stack: DataFrame, thresholds: DataFrame, order: list, cell: str = "cell_id") -> DataFrame:
     """Longest runs and classes for each of a few thresholds (label, threshold)."""
-    rows = stack.crossJoin(F.broadcast(thresholds))
+    rows = stack.crossJoin(small(thresholds))
     on = holds(finite("value") & (F.col("value") > F.col("threshold")))
     w = Window.partitionBy("label", cell).orderBy(*order)
     rows = rows.select("label", cell, *order, on.alias("_on")).withColumn("_i", F.row_number().over(w) - F.sum(F.col("_on").cast("int")).over(w))

@@ -37,6 +37,23 @@ def row_map(stack: DataFrame, fitted: DataFrame) -> DataFrame:
     return stack.join(fitted, "stack_row", "left")
 
 
+def predictor_layout(fitted: DataFrame, observed: DataFrame, n_latent: int) -> DataFrame:
+    """One row: rows of the observed block (the stack's), of the latent one behind it, of
+    both, and whether the fitted table (stack_row from 1) has just those."""
+    n = observed.agg(F.count(F.lit(1)).alias("n_observed"))
+    have = fitted.agg(F.count(F.lit(1)).alias("n_total"), F.count_distinct("stack_row").alias("_distinct"), F.min("stack_row").alias("_first"), F.max("stack_row").alias("_last"))
+    out = n.crossJoin(F.broadcast(have)).withColumn("n_latent", F.lit(n_latent).cast("long"))
+    whole = (F.col("n_total") == F.col("n_observed") + F.col("n_latent")) & (F.col("_distinct") == F.col("n_total")) & (F.col("_first") == 1) & (F.col("_last") == F.col("n_total"))
+    return out.select("n_observed", "n_latent", "n_total", whole.alias("reconciled"))
+
+
+def fitted_blocks(fitted: DataFrame, n_observed: int) -> DataFrame:
+    """fitted with its block (APredictor for the observed rows, Predictor for the latent ones)
+    and its place in the block."""
+    first = F.col("stack_row") <= n_observed
+    return fitted.withColumns({"predictor_block": F.when(first, "APredictor").otherwise("Predictor"), "output_index": F.when(first, F.col("stack_row")).otherwise(F.col("stack_row") - n_observed)})
+
+
 def fixed_contribution(fixed: dict[str, float], columns: dict[str, str], terms: list[str]) -> Column:
     """Sum of coefficient times column over the stated terms of a tier; a term "a:b" is the
     product of two columns. Terms are listed a tier, never inferred from what is present."""

@@ -26,10 +26,10 @@ def named_quantiles(df: DataFrame) -> DataFrame:
 
 
 def fixed_effects(df: DataFrame, tier1_terms: list[str]) -> DataFrame:
-    """term, label, note, tier, mean, sd, quantiles, and whether 0 lies outside the interval."""
+    """term, label, note, source, tier, mean, sd, quantiles, and whether 0 lies outside the interval."""
     q = named_quantiles(df)
     return q.select(
-        "term", text.effect_label("term").alias("label"), text.effect_note("term").alias("note"), F.when(F.col("term").isin(tier1_terms), "Tier 1").otherwise("Tier 2").alias("tier"), "mean", "sd", "q025", "median", "q975",
+        "term", text.effect_label("term").alias("label"), text.effect_note("term").alias("note"), text.effect_source("term").alias("source"), F.when(F.col("term").isin(tier1_terms), "Tier 1").otherwise("Tier 2").alias("tier"), "mean", "sd", "q025", "median", "q975",
         ((F.col("q025") > 0) | (F.col("q975") < 0)).alias("excludes_zero"),
     )
 
@@ -57,6 +57,18 @@ def hyperparameters(df: DataFrame) -> DataFrame:
     return df.withColumn("h", h).select(F.col("parameter").alias("source_name"), "h.component", F.col("h.parameter").alias("parameter"), "h.units", "h.scale", *[c for c in df.columns if c != "parameter"])
 
 
+def model_summary(rows: DataFrame, weeks: DataFrame, effects: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(item, value) of a fitted model. rows: tier, is_test_point; weeks: a row a week with
+    spatial_group; effects: section, term; criteria: criterion, value."""
+    count = lambda c: F.count(F.when(c, 1)).cast("double")
+    t = F.col("tier")
+    one = rows.agg(*[count(t == k).alias(f"{k}_rows") for k in ("tier1", "tier2")], *[count((t == k) & F.coalesce("is_test_point", F.lit(False))).alias(f"{k}_holdouts") for k in ("tier1", "tier2")])
+    two = weeks.agg(F.count(F.lit(1)).cast("double").alias("temporal_weeks"), F.count_distinct("spatial_group").cast("double").alias("spatial_groups"))
+    three = effects.agg(count(F.col("section") == "fixed").alias("fixed_effects"), count(F.col("section") == "hyper").alias("hyperparameters"), F.count_distinct(F.when(~F.col("section").isin("fixed", "hyper"), F.col("section"))).cast("double").alias("random_components"))
+    four = criteria.agg(*[F.max(F.when(F.col("criterion") == k, F.col("value"))).alias(k) for k in ("dic", "waic", "marginal_log_likelihood")])
+    return reduce(lambda a, b: a.unionByName(b), [x.unpivot([], x.columns, "item", "value") for x in (one, two, three, four)])
+
+
 def distribution_audit(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Counts, share of zeros, extremes, low quantiles, median and mean of finite values."""
     v = F.when(finite(value), F.col(value))

@@ -58,6 +58,11 @@ def set_difference_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return missing.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
+def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows that both have."""
+    return a.intersect(b)
+
+
 def subset_violations(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
     return inner.join(outer, keys, "left_anti")
 
@@ -74,12 +79,21 @@ def cross_product_check(df: DataFrame, left: str, right: str, n_left: int, n_rig
     ).withColumn("complete", (F.col("missing") == 0) & (F.col("repeated") == 0) & (F.col("unexpected") == 0))
 
 
+#: Rows of a table that is broadcast; larger ones are left to Spark to join.
+FEW = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked to be broadcast if it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def crossing(*tables: DataFrame) -> DataFrame:
-    """Every combination of the distinct rows; all but the first table are small and
-    broadcast (weeks, variants)."""
+    """Every combination of the distinct rows; all but the first table are meant to be small
+    (weeks, variants), and broadcast when they are."""
     out = tables[0].distinct()
     for t in tables[1:]:
-        out = out.crossJoin(F.broadcast(t.distinct()))
+        out = out.crossJoin(small(t.distinct()))
     return out
 
 

@@ -84,7 +84,11 @@ def simulate_points(density: DataFrame, n: int, seed, power: float = 1.5, week:
     draws = density.select(week).distinct().crossJoin(F.broadcast(spark.range(1, n + 1).withColumnRenamed("id", "point")))
     digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(week).cast("string"), F.col("point").cast("string"))), 1, 8), 16, 10).cast("double")
     draws = draws.withColumn("u", digest / 4294967296.0)
-    return draws.join(spans, week).where("u >= lower and u < upper").select(week, "point", "cell_id")
+    # Both go to slices of the unit interval, so that a draw meets the few cells of its own.
+    slices = 1024
+    spans = spans.withColumn("slice", F.explode(F.sequence(F.floor(F.col("lower") * slices), F.floor(F.col("upper") * slices))))
+    draws = draws.withColumn("slice", F.floor(F.col("u") * slices))
+    return draws.join(spans, [week, "slice"]).where("u >= lower and u < upper").select(week, "point", "cell_id")
 
 
 def cell_counts(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFrame:

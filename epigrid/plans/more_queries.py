@@ -67,12 +67,6 @@ def summary_comparison(spark, sf_dir):
     return rounded(sets.summary_comparison(count(o), count(o.where("o_orderstatus = 'O'")), "k", "v"), "ratio")
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def subset_violations(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return sets.subset_violations(c, o, ["c_custkey"]).distinct()
-
-
 @query("SELECT s_suppkey AS id, s_nationkey AS nation, '-' AS segment FROM supplier UNION ALL SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
 def union_filled(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
@@ -166,13 +160,6 @@ def criteria_by_family(spark, sf_dir):
     return rounded(predictor.criteria_by_family(local, totals, "family").select("criterion", "local_sum", "families", "reconciled"), "local_sum", digits=4)
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE false")
-def weights_per_bin(spark, sf_dir):
-    """Bins with several weights: none, as the weight is a function of the bin."""
-    li = table(spark, sf_dir, "lineitem").withColumn("w", F.col("l_linenumber") * 2)
-    return predictor.weights_per_bin(li, "l_linenumber", "w").select(F.col("l_linenumber").cast("long").alias("l_orderkey"), "l_linenumber")
-
-
 @query("SELECT round(avg((c_mktsegment <> 'BUILDING')::INTEGER), 6) AS mapped_share FROM customer")
 def mapping_rate(spark, sf_dir):
     return rounded(gates.mapping_rate(table(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING"), "mapped_share")

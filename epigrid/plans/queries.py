@@ -144,7 +144,7 @@ def epiweek_roundtrip(spark, sf_dir):
 
 
 def _observations(spark, sf_dir):
-    return weekly_events(spark, sf_dir).where("event_type = 'purchase'").withColumnRenamed("event_id", "observation_id")
+    return weekly_events(spark, sf_dir).withColumnRenamed("event_id", "observation_id")
 
 
 def _nodes(spark, sf_dir):
@@ -158,7 +158,7 @@ def _event_weeks(spark, sf_dir):
 EVENT_WEEKS = "w AS (SELECT epiyear, epiweek, row_number() OVER (ORDER BY epiyear, epiweek)::INTEGER AS time_index FROM (SELECT DISTINCT epiyear, epiweek FROM e))"
 
 
-@query(f"""WITH {EVENTS}, {EVENT_WEEKS}, p AS (SELECT 'obs_' || event_id AS row_id, epiyear, epiweek, 1 AS yi, 0.0001::DOUBLE AS exposure FROM e WHERE event_type = 'purchase'),
+@query(f"""WITH {EVENTS}, {EVENT_WEEKS}, p AS (SELECT 'obs_' || event_id AS row_id, epiyear, epiweek, 1 AS yi, 0.0001::DOUBLE AS exposure FROM e),
 b AS (SELECT 'quad_' || i || '_' || time_index AS row_id, epiyear, epiweek, 0 AS yi, CASE WHEN i % 3 <> 0 THEN i + 1.0 ELSE 0.0001 END::DOUBLE AS exposure FROM range(40) t(i), w)
 SELECT * FROM p UNION ALL SELECT * FROM b""")
 def tier1_union(spark, sf_dir):
@@ -167,13 +167,13 @@ def tier1_union(spark, sf_dir):
     return t.select("row_id", "epiyear", "epiweek", F.col("Yi").alias("yi"), F.col("sc_Exp").alias("exposure"))
 
 
-@query(f"WITH {EVENTS}, {EVENT_WEEKS}, c AS (SELECT cell_id, epiyear, epiweek, count(*) AS n FROM e WHERE event_type = 'purchase' GROUP BY ALL) SELECT i AS poly_id, w.epiyear, w.epiweek, time_index, coalesce(n, 0) AS count FROM range(40) t(i) CROSS JOIN w LEFT JOIN c ON c.cell_id = i AND c.epiyear = w.epiyear AND c.epiweek = w.epiweek")
+@query(f"WITH {EVENTS}, {EVENT_WEEKS}, c AS (SELECT cell_id, epiyear, epiweek, count(*) AS n FROM e GROUP BY ALL) SELECT i AS poly_id, w.epiyear, w.epiweek, time_index, coalesce(n, 0) AS count FROM range(40) t(i) CROSS JOIN w LEFT JOIN c ON c.cell_id = i AND c.epiyear = w.epiyear AND c.epiweek = w.epiweek")
 def tier2_grid_counts(spark, sf_dir):
     o = _observations(spark, sf_dir).withColumnRenamed("cell_id", "poly_id")
     return tiers.area_week_counts(o, spark.range(40).withColumnRenamed("id", "poly_id"), _event_weeks(spark, sf_dir)).select("poly_id", "epiyear", "epiweek", "time_index", "count")
 
 
-@query("SELECT count(*) AS eligible, count(*) AS presences, count(*) AS counted, true AS conserved FROM events WHERE event_type = 'purchase'")
+@query("SELECT count(*) AS eligible, count(*) AS presences, count(*) AS counted, true AS conserved FROM events")
 def conservation(spark, sf_dir):
     o, weeks = _observations(spark, sf_dir), _event_weeks(spark, sf_dir)
     t1 = tiers.presence_background(o.join(F.broadcast(weeks), ["epiyear", "epiweek"]), _nodes(spark, sf_dir), weeks)
@@ -395,7 +395,10 @@ def brier_logloss(spark, sf_dir):
     return rounded(metrics.brier_log_loss(_scored(spark, sf_dir), "quality", "p"), "brier", "log_loss")
 
 
-@query()
+LOGISTIC = [f"WITH RECURSIVE {SCORED}, x AS (SELECT quality::DOUBLE AS y, ln(p / (1 - p)) AS x FROM d), b(i, b0, b1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (SELECT i, b0, b1, sum(y - m) AS g0, sum((y - m) * x) AS g1, sum(m * (1 - m)) AS h00, sum(m * (1 - m) * x) AS h01, sum(m * (1 - m) * x * x) AS h11 FROM (SELECT i, b0, b1, x, y, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM b, x WHERE i < 12) GROUP BY i, b0, b1))"]
+
+
+@query(LOGISTIC[0] + " SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM b WHERE i = 12")
 def logistic_calibration(spark, sf_dir):
     a, b = metrics.logistic_calibration(_scored(spark, sf_dir), "quality", "p")
     return spark.createDataFrame([(round(a, 6), round(b, 6))], "intercept double, slope double")
@@ -621,7 +624,10 @@ def bilinear(spark, sf_dir):
     return rounded(grid.bilinear(u, _raster(spark), GRID, ["user_id"]).select("user_id", "value"), "value")
 
 
-@query()
+@query(f"""WITH {EVENTS}, u AS (SELECT DISTINCT user_id, x, y FROM e), {RASTER}, k AS (SELECT user_id, floor(x - 0.5) + dc AS c, floor(9.5 - y) + dr AS r, (1 - abs(9.5 - y - floor(9.5 - y) - dr)) * (1 - abs(x - 0.5 - floor(x - 0.5) - dc)) AS w FROM u, range(2) a(dr), range(2) b(dc)),
+g AS (SELECT user_id, w, CASE WHEN c BETWEEN 0 AND 9 AND r BETWEEN 0 AND 9 THEN r * 10 + c + 1 END AS cell_id FROM k WHERE w > 0), d AS (SELECT user_id, CASE WHEN count(value) = count(*) THEN sum(w * value) END AS direct FROM g LEFT JOIN v USING (cell_id) GROUP BY 1),
+n AS (SELECT user_id, value, sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) AS km FROM u JOIN v ON value IS NOT NULL WHERE sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) <= 1.5 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY km, cell_id) = 1), o AS (SELECT user_id, direct, CASE WHEN direct IS NULL THEN n.value END AS near, CASE WHEN direct IS NULL THEN km END AS km FROM d LEFT JOIN n USING (user_id))
+SELECT user_id, round(direct, 6) AS direct, round(coalesce(direct, near), 6) AS value, CASE WHEN direct IS NOT NULL THEN 'direct' WHEN near IS NOT NULL THEN 'fallback' ELSE 'unresolved' END AS method, round(km, 6) AS distance_km, CASE WHEN km <= 25 THEN '<=25 km' ELSE 'none' END AS distance_class FROM o""")
 def extraction_fallback(spark, sf_dir):
     u = weekly_events(spark, sf_dir).select("user_id", "x", "y").distinct()
     return rounded(grid.extract_with_fallback(u, _raster(spark), GRID, ["user_id"], 1.5).select("user_id", "direct", "value", "method", "distance_km", "distance_class"), "direct", "value", "distance_km")
@@ -723,7 +729,7 @@ def json_alias_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.json_alias("props", "$.key", "$.k").alias("k"))
 
 
-@query("""SELECT sha256(string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', chr(10) ORDER BY '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}')) AS fingerprint FROM nation""")
+@query("""WITH h AS (SELECT sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS h FROM nation), c AS (SELECT h[1:3] AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(p || h, '' ORDER BY p || h)) AS fingerprint FROM c""")
 def canonical_fingerprint(spark, sf_dir):
     return files.set_fingerprint(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"])
 
@@ -733,7 +739,8 @@ def range_labels(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(F.month("o_orderdate")).alias("m")).select("o_custkey", text.range_label("m").alias("label"))
 
 
-@query()
+@query(f"""WITH {NATION_WEEKS}, q AS (SELECT time_index, cell_id, value ** 1.5 AS w FROM g WHERE value > 0), c AS (SELECT time_index, cell_id, sum(w) OVER (PARTITION BY time_index ORDER BY cell_id) / sum(w) OVER (PARTITION BY time_index) AS upper FROM q), sp AS (SELECT *, coalesce(lag(upper) OVER (PARTITION BY time_index ORDER BY cell_id), 0) AS lower FROM c),
+u AS (SELECT time_index, i AS point, ('0x' || substr(md5('3|' || time_index || '|' || i), 1, 8))::BIGINT / 4294967296.0 AS u FROM w, range(1, 21) t(i)) SELECT u.time_index, u.point, sp.cell_id FROM u JOIN sp ON u.time_index = sp.time_index AND u >= lower AND u < upper""")
 def simulate_points(spark, sf_dir):
     density = nation_weeks(spark, sf_dir).select("time_index", "cell_id", "value")
     return tiers.simulate_points(density, 20, 3)

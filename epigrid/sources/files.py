@@ -114,9 +114,36 @@ def lineage_coverage(sidecars: DataFrame, variables: DataFrame, weeks: DataFrame
 
 
 def set_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (fingerprint): SHA-256 over the sorted JSON lines of a small table, the same
-    in any row order."""
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*columns)))), "\n"), 256).alias("fingerprint"))
+    """One row (fingerprint): SHA-256 over the hashes of 4096 classes of rows, each of which is
+    over its rows' sorted JSON hashes; the same in any row order. No task gets all rows."""
+    rows = df.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("_h"))
+    classes = rows.groupBy(F.substring("_h", 1, 3).alias("_p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_h"))
+    return classes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("_p", "_h"))), ""), 256).alias("fingerprint"))
+
+
+def portfolio_validity(products: DataFrame, required: list[str], weeks: int) -> DataFrame:
+    """(portfolio, valid, problem): products: portfolio, status, product, product_status, missing,
+    bad_sidecars, present, expected. A portfolio is valid when it and all required products
+    succeeded, with no week or sidecar missing and all weeks present."""
+    whole = (F.col("product_status") == "success") & (F.col("missing") == 0) & (F.col("bad_sidecars") == 0) & (F.col("present") >= F.col("expected")) & (F.col("expected") >= weeks)
+    need = F.col("product").isin(required)
+    out = products.groupBy("portfolio").agg(F.min(F.col("status") == "success").alias("_s"), F.count_distinct(F.when(need, F.col("product"))).alias("_have"), F.count(F.when(need & ~F.coalesce(whole, F.lit(False)), 1)).alias("_bad"))
+    problem = F.when(~F.coalesce("_s", F.lit(False)), "not successful").when(F.col("_have") < len(required), "product missing").when(F.col("_bad") > 0, "product incomplete")
+    return out.select("portfolio", problem.isNull().alias("valid"), problem.alias("problem"))
+
+
+def coverage_certificate(sidecars: DataFrame, variables: DataFrame, weeks: DataFrame) -> DataFrame:
+    """One row: variables, weeks, problems, a fingerprint over all sidecars' own, and whether
+    coverage is complete."""
+    faults = lineage_coverage(sidecars, variables, weeks).agg(F.count(F.lit(1)).alias("problems"))
+    size = variables.agg(F.count_distinct("variable").alias("variables")).crossJoin(F.broadcast(weeks.agg(F.count_distinct("week_id").alias("weeks"))))
+    mark = set_fingerprint(sidecars, ["variable", "week_id", "fingerprint", "sha256"])
+    return size.crossJoin(F.broadcast(faults)).crossJoin(F.broadcast(mark)).withColumn("complete", F.col("problems") == 0)
+
+
+def repeated_contents(manifest: DataFrame) -> DataFrame:
+    """(sha256, copies, first_path) of contents that stand in several files."""
+    return manifest.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path")).where("copies > 1")
 
 
 def horizon_status(week: str, available: str) -> str:

@@ -60,8 +60,29 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(f"{path}.csv")
 
 
-def write_weekly(df: DataFrame, path: str) -> DataFrame:
-    """One partition a week; returns the manifest (epiyear, epiweek, files, rows)."""
+def write_weekly(df: DataFrame, path: str, order: list[str] | None = None) -> DataFrame:
+    """One partition a week; returns the manifest (epiyear, epiweek, files, rows, sha256). The
+    hash is that of the week's rows: of the sorted hashes of ranges of at most some thousand
+    rows' JSON, so it does not depend on files or partitions."""
     df.repartition("epiyear", "epiweek").write.mode("errorifexists").partitionBy("epiyear", "epiweek").parquet(path)
-    back = df.sparkSession.read.parquet(path).select("epiyear", "epiweek", F.col("_metadata.file_path").alias("_file"))
-    return back.groupBy("epiyear", "epiweek").agg(F.count_distinct("_file").alias("files"), F.count(F.lit(1)).alias("rows"))
+    back = df.sparkSession.read.parquet(path)
+    columns = sorted(c for c in back.columns)
+    rows = back.select("epiyear", "epiweek", F.col("_metadata.file_path").alias("_file"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("_h"))
+    parts = rows.groupBy("epiyear", "epiweek", F.substring("_h", 1, 3).alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.collect_set("_file").alias("_f"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_h"))
+    weeks = parts.groupBy("epiyear", "epiweek").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_f")))).cast("long").alias("files"), F.sum("_n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("_p", "_h"))), ""), 256).alias("sha256"))
+    return weeks
+
+
+def commit_tables(tables: dict[str, DataFrame], path: str, facts: dict | None = None) -> None:
+    """``write_bundle`` all or nothing: into a folder beside it, renamed when all is written. An
+    existing path is an error, before anything is written."""
+    spark = next(iter(tables.values())).sparkSession
+    jvm = spark.sparkContext._jvm
+    target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.staged")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(path)
+    fs.delete(staged, True)
+    write_bundle(tables, f"{path}.staged", facts)
+    if not fs.rename(staged, target):
+        raise OSError(f"{path} could not be put in place")

@@ -70,3 +70,73 @@ def test_reports(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
     assert reporting.plans_agree(a, a.repartition(2), "k", "v").first()["pass"] and not reporting.plans_agree(a, a.limit(1), "k", "v").first()["pass"]
     assert reporting.with_aliases(reporting.prefixed(a, ["v", "z"]), {"w": "v", "u": "z"}).columns == ["k", "v", "source_v", "w"]
+
+
+def test_ids_and_contracts(spark):
+    from epigrid.plans.config import dimension_contract, run_id, support_summary
+
+    assert run_id(" a ", None) == ("a", False) and run_id(None, "b") == ("b", True) and run_id("", " ") == (None, False)
+    with pytest.raises(ValueError):
+        run_id("a", "b")
+    weeks = timeidx.time_buckets(timeidx.week_index(spark, "2024-01-01", "2024-06-30"))
+    grid = weeks.crossJoin(spark.range(3).withColumnRenamed("id", "cell_id"))
+    got = dimension_contract(grid, weeks).first()
+    assert got.reconciled and got.modeled_weeks == 26 and got.prediction_rows == 78 and got.horizon_start == "2024-W01"
+    assert not dimension_contract(grid.where("not (cell_id = 1 and time_index = 4)"), weeks).first().reconciled
+    flagged = grid.withColumns({"admin": F.col("cell_id"), "unseen": F.col("cell_id") == 2})
+    assert support_summary(flagged, "zero_mean").first()["rows"] == 26
+    with pytest.raises(ValueError):
+        support_summary(flagged, "fail")
+
+
+def test_weekly_covariates_fail_on_request(spark):
+    from epigrid.operators import grid
+
+    rows = spark.createDataFrame([(1, 2024, 1), (2, 2024, 1)], "cell_id int, epiyear int, epiweek int")
+    values = spark.createDataFrame([(1, 2024, 1, "t", 5.0)], "cell_id int, epiyear int, epiweek int, variable string, value double")
+    joined, counts = grid.weekly_covariates(rows, values, ["cell_id", "epiyear", "epiweek"], ["t"])
+    assert joined.count() == 2 and counts.first().missing == 1
+    with pytest.raises(ValueError):
+        grid.weekly_covariates(rows, values, ["cell_id", "epiyear", "epiweek"], ["t"], "fail")
+
+
+def test_model_summary_and_gate_outcome(spark):
+    from epigrid.operators import gate_rules, gates
+
+    products = spark.createDataFrame([(n, 5, 5, 0) for n, _ in gate_rules.REPORT_CHECKS.values()], "name string, rows long, expected_rows long, faults long").distinct()
+    checks = gate_rules.reporting_qa(products)
+    assert checks.count() == 22 and gates.outcome(checks).first().outcome == "PASS"
+    assert gates.outcome(gate_rules.reporting_qa(products.where("name <> 'manifest'"))).first().outcome == "PASS_WITH_WARNINGS"
+    assert gates.outcome(gate_rules.reporting_qa(products.where("name <> 'fit'"))).first().outcome == "FAIL"
+    audits = spark.createDataFrame([(c, "PASS") for c in gate_rules.POSTFIT], "check string, status string")
+    assert gates.outcome(gate_rules.postfit_gate(audits)).first().outcome == "PASS"
+    assert gates.outcome(gate_rules.postfit_gate(audits.where("check <> 'raster_mapping'"))).first().outcome == "FAIL"
+
+
+def test_exact_quantiles(spark):
+    from epigrid.operators import metrics
+
+    rows = [(i % 3, float((i * 37) % 11) if i % 7 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    import numpy as np
+
+    got = {r.g: (r.a, r.b, r.c) for r in metrics.exact_quantiles(df, "v", {"a": 0.05, "b": 0.5, "c": 0.93}, ["g"]).collect()}
+    for g in range(3):
+        v = [x for h, x in rows if h == g and x is not None]
+        assert np.allclose(got[g], np.quantile(v, [0.05, 0.5, 0.93]))
+    nulls = metrics.exact_quantiles(spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double"), "v", {"m": 0.5}, ["g"])
+    assert {(r.g, r.m) for r in nulls.collect()} == {(None, 2.0), ("a", 5.0)}
+    assert metrics.exact_quantiles(df.limit(0), "v", {"m": 0.5}).count() == 0
+
+
+def test_ties_are_dealt_to_bins_by_row_id(spark, monkeypatch):
+    from epigrid.operators import metrics
+
+    rows = [(i, 0.0 if i % 3 else float(i), float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, p double, o double").repartition(4)
+    plain = sorted(map(tuple, metrics.equal_frequency_bins(df, "p", "o", "id", 7).collect()))
+    monkeypatch.setattr(metrics, "TIED", 10)
+    assert sorted(map(tuple, metrics.equal_frequency_bins(df, "p", "o", "id", 7).collect())) == plain
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = [sum(r[2] for k, r in enumerate(order) if k * 7 // 300 == b) for b in range(7)]
+    assert [r[4] for r in plain] == want

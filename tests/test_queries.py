@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import epigrid.plans.gate_queries  # noqa: F401
 import epigrid.plans.more_queries  # noqa: F401
 from epigrid.plans.queries import ORACLES, QUERIES
 

@@ -25,6 +25,21 @@ def test_weekly_partitions(spark, tmp_path):
     df = spark.createDataFrame([(2024, 1, 1.0), (2024, 1, 2.0), (2024, 2, 3.0)], "epiyear int, epiweek int, v double")
     m = tables.write_weekly(df, str(tmp_path / "w"))
     assert sorted((r.epiweek, r.files, r.rows) for r in m.collect()) == [(1, 1, 2), (2, 1, 1)]
+    again = tables.write_weekly(df.orderBy(F.desc("v")).repartition(3), str(tmp_path / "w2"))
+    key = lambda d: sorted((r.epiweek, r.sha256) for r in d.collect())
+    assert key(m) == key(again) != key(tables.write_weekly(df.withColumn("v", F.col("v") + 1), str(tmp_path / "w3")))
+
+
+def test_commit_is_all_or_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "k int")
+    tables.commit_tables({"t": df}, str(tmp_path / "c"), {"run": 1})
+    assert tables.read_bundle(spark, str(tmp_path / "c"))[1]["run"] == 1
+    with pytest.raises(FileExistsError):
+        tables.commit_tables({"t": df}, str(tmp_path / "c"))
+    fails = df.withColumn("k", F.raise_error(F.lit("stop")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        tables.commit_tables({"t": df, "u": fails}, str(tmp_path / "d"))
+    assert not (tmp_path / "d").exists()
 
 
 def test_weekly_files_and_manifest(spark, tmp_path):
