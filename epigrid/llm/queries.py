@@ -62,9 +62,11 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Workspace
     from .hamming_search import nearest_codes, sign_codes
 
-    codes = sign_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    # Written once: the codes are read as index and as queries.
+    codes = Workspace(spark, "codes").result(sign_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"))
     found = nearest_codes(codes, codes.where(F.col("id") % 50 == 0), k=10)
     return found.select(F.col("query_id").alias("query_vec_id"), F.col("rank").alias("place"), F.col("id").alias("vec_id"), "distance")
 
@@ -72,7 +74,7 @@ def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH d AS (
   SELECT q.vec_id AS query_vec_id, e.vec_id,
-    list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END))::INTEGER AS distance
+    list_sum(list_transform(range(1, greatest(len(q.embedding), len(e.embedding)) + 1), lambda i: CASE WHEN coalesce(q.embedding[i] > 0, false) <> coalesce(e.embedding[i] > 0, false) THEN 1 ELSE 0 END))::INTEGER AS distance
   FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
 SELECT query_vec_id, row_number() OVER (PARTITION BY query_vec_id ORDER BY distance, vec_id)::INTEGER AS place, vec_id, distance
 FROM d QUALIFY place <= 10
