@@ -7,8 +7,11 @@ import numpy as np
 from helpers import odd_rows
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from epigrid.llm.common import Workspace
 from epigrid.llm.language_id import identify_languages, train_languages
-from epigrid.llm.mixing import mix_sources
+from epigrid.llm.mixing import mix_report
 from epigrid.llm.tokens import default_vocabulary, token_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,18 +72,19 @@ def test_stages_and_run(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language", "lines", "near_duplicates", "mix", "pack"]
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    names, model = train_languages(docs)
-    scored = identify_languages(docs, names, model).collect()
+    model = train_languages(docs)
+    least = {n: 0.7 * x for n, x in zip(model.names, model.least)}
+    scored = identify_languages(docs, model).collect()
     known = stages["language"](spark, docs, "")
     assert known.columns == docs.columns
-    assert key(known.collect()) == key(r[:5] for r in scored if r.lang_pred != "und" and r.score >= 0.3)
+    assert key(known.collect()) == key(r[:5] for r in scored if r.lang_pred != "und" and r.score >= least[r.lang_pred])
     clean = stages["lines"](spark, known, "")
     assert clean.columns == docs.columns and key(clean.collect()) == key(without_boilerplate(known.collect()))
     single = stages["near_duplicates"](spark, clean, "")
     assert single.columns == docs.columns and key(single.collect()) == key(first_of_each_group([tuple(r) for r in clean.collect()]))
     mixed = stages["mix"](spark, single, "")
-    copies = {(r.doc_id, r.source, r["size"]): r.copies for r in mix_sources(single).collect()}
-    want = [r for r in single.collect() for _ in range(copies[r.doc_id, r.source, len(WORDS.findall(r.text or ""))])]
+    copies = {(r.doc_id, r["size"]): r.taken // max(1, r["size"]) for r in mix_report(single).collect()}
+    want = [r for r in single.collect() for _ in range(copies[r.doc_id, len(WORDS.findall(r.text or ""))])]
     assert mixed.columns == docs.columns and key(mixed.collect()) == key(want)
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     tokens = Counter()
@@ -92,6 +96,17 @@ def test_stages_and_run(spark, tmp_path):
         assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_size", "_copy", "_bad", "_salt", "_gone", "_own_lang_pred", "lang_pred", "score", "removed_lines", "copies", "own_0", "slot", "set_id"]
+    docs = documents(spark)
+    more = docs.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        more = Workspace(spark, f"any-{name}").result(stage(spark, more, ""))
+        docs = Workspace(spark, f"plain-{name}").result(stage(spark, docs, ""))
+        assert more.columns == [*docs.columns, *names] and more.select(*names).distinct().collect() == [tuple(f"mine {n}" for n in names)]
+        assert key(more.select(*docs.columns).collect()) == key(docs.collect())
+
+
 def test_stages_on_an_empty_table(spark):
     docs = documents(spark).limit(0)
     for name, stage in corpus_pipeline.STAGES:
