@@ -397,3 +397,59 @@ def weights_per_bin(spark, sf_dir):
 def subset_violations(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return sets.subset_violations(o.select(F.col("o_custkey").alias("k")), o.where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")), ["k"]).distinct()
+
+
+# --- whole runs over the tables ------------------------------------------------------------
+
+
+def _run_inputs(spark, sf_dir) -> dict:
+    """All events as records, order totals as the weekly covariate of 100 cells, sizes of
+    parts as the static one, over three weeks."""
+    x, y = GRID.center("cell_id")
+    cells = spark.range(1, 101).withColumnRenamed("id", "cell_id").withColumns({"x": x, "y": y})
+    records = weekly_events(spark, sf_dir).select(F.col("event_id").alias("observation_id"), "day", "x", "y", F.col("event_type").alias("host"))
+    cell = lambda c: (F.col(c) % 100 + 1).cast("long").alias("cell_id")
+    weekly = table(spark, sf_dir, "orders").groupBy(cell("o_custkey"), F.lit(2024).alias("epiyear"), (F.col("o_orderkey") % 3 + 2).cast("int").alias("epiweek")).agg((F.avg("o_totalprice") / 10000).alias("value")).withColumn("variable", F.lit("mintemp"))
+    static = table(spark, sf_dir, "part").groupBy(cell("p_partkey")).agg(F.avg("p_size").alias("value")).withColumn("variable", F.lit("cattle"))
+    nodes = cells.select(F.col("cell_id").alias("node"), "x", "y", F.lit(1.0).alias("area"), F.lit(True).alias("inside_domain"))
+    return {"grid": GRID, "weeks": timeidx.week_index(spark, "2024-01-08", "2024-01-28"), "cells": cells, "records": records, "weekly": weekly, "static": static, "nodes": nodes}
+
+
+RUN_CONFIG = {"study": {"start": "2024-01-08", "end": "2024-01-28"}, "bins": 5}
+RUN_SQL = f"""WITH {EVENTS}, r AS (SELECT *, CASE WHEN NOT (epiyear = 2024 AND epiweek BETWEEN 2 AND 4) THEN 'outside_study_period' WHEN NOT (x BETWEEN 0 AND 10 AND y BETWEEN 0 AND 10) THEN 'outside_spatial_domain' END AS reason FROM e),
+m AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY epiyear, epiweek, x, y, reason IS NULL ORDER BY event_id) > 1 THEN 'exact_point_week_duplicate' ELSE reason END AS exclusion_reason FROM r),
+kept AS (SELECT epiweek, least(floor((10 - y) / 1.0), 9)::BIGINT * 10 + least(floor(x / 1.0), 9)::BIGINT + 1 AS cell_id FROM m WHERE exclusion_reason IS NULL)"""
+
+
+@query(RUN_SQL + """, st(position, stage) AS (VALUES (0, 'input'), (1, 'invalid_year_week'), (2, 'outside_study_period'), (3, 'invalid_coordinates'), (4, 'outside_spatial_domain'), (5, 'exact_point_week_duplicate'), (6, 'retained')), n AS (SELECT coalesce(exclusion_reason, 'retained') AS stage, count(*) AS c FROM m GROUP BY 1 UNION ALL SELECT 'input', count(*) FROM m)
+SELECT position::INTEGER AS position, st.stage, coalesce(c, 0)::BIGINT AS count FROM st LEFT JOIN n USING (stage)""")
+def run_exclusion_audit(spark, sf_dir):
+    from . import surveillance
+
+    return surveillance.prepare(_run_inputs(spark, sf_dir), RUN_CONFIG)["exclusion_audit"]
+
+
+@query(RUN_SQL + """, c AS (SELECT cell_id, epiweek, count(*) AS n FROM kept GROUP BY ALL), t AS (SELECT o_custkey % 100 + 1 AS cell_id, o_orderkey % 3 + 2 AS epiweek, avg(o_totalprice) / 10000 AS v FROM orders GROUP BY ALL), s AS (SELECT p_partkey % 100 + 1 AS cell_id, avg(p_size) AS v FROM part GROUP BY ALL)
+SELECT w.epiweek::INTEGER AS epiweek, count(*) AS rows, coalesce(sum(n), 0)::BIGINT AS count, round(sum(t.v), 4) AS mintemp, round(sum(s.v), 4) AS cattle FROM range(1, 101) g(i) CROSS JOIN range(2, 5) w(epiweek) LEFT JOIN c ON c.cell_id = i AND c.epiweek = w.epiweek LEFT JOIN t ON t.cell_id = i AND t.epiweek = w.epiweek LEFT JOIN s ON s.cell_id = i GROUP BY 1""")
+def run_model_table(spark, sf_dir):
+    """The counts' model table of a whole run, summed by week."""
+    from . import surveillance
+
+    t = surveillance.prepare(_run_inputs(spark, sf_dir), RUN_CONFIG)["tier2"]
+    return rounded(t.groupBy("epiweek").agg(F.count(F.lit(1)).alias("rows"), F.sum("count").cast("long").alias("count"), F.sum("mintemp").alias("mintemp"), F.sum("cattle").alias("cattle")), "mintemp", "cattle", digits=4)
+
+
+@query(RUN_SQL + """, t AS (SELECT o_custkey % 100 + 1 AS cell_id, o_orderkey % 3 + 2 AS epiweek, avg(o_totalprice) / 10000 AS v FROM orders GROUP BY ALL), z AS (SELECT avg(v) AS c, greatest(stddev_samp(v), 2.220446049250313e-16) AS d FROM t),
+k AS (SELECT i AS cell_id, w.epiweek, v, exp(0.5 + 0.3 * (v - c) / d + CASE w.epiweek WHEN 2 THEN 0.1 WHEN 3 THEN 0.2 ELSE 0 END) AS lam FROM range(1, 101) g(i) CROSS JOIN range(2, 5) w(epiweek) CROSS JOIN z LEFT JOIN t ON t.cell_id = i AND t.epiweek = w.epiweek),
+a AS (SELECT cell_id, epiweek, CASE WHEN lam IS NULL OR v IS NULL THEN NULL WHEN v < 14 THEN 0.0 ELSE lam END AS m FROM k), q AS (SELECT quantile_cont(m, 0.1) AS t FROM kept JOIN a USING (cell_id, epiweek) WHERE m IS NOT NULL),
+i AS (SELECT cell_id, m, coalesce(m > t, false) AS f, row_number() OVER (PARTITION BY cell_id ORDER BY epiweek) - sum(coalesce(m > t, false)::INTEGER) OVER (PARTITION BY cell_id ORDER BY epiweek) AS island FROM a, q), u AS (SELECT cell_id, island, sum(f::INTEGER) AS n, bool_or(m IS NOT NULL) AS ok FROM i GROUP BY ALL)
+SELECT cell_id, CASE WHEN bool_or(ok) THEN max(n) END::BIGINT AS longest_run FROM u GROUP BY 1""")
+def run_longest_runs(spark, sf_dir):
+    """The runs of a whole run after a fit: predictions, mask, threshold at the records."""
+    from . import surveillance
+
+    inputs = _run_inputs(spark, sf_dir)
+    prepared = surveillance.prepare(inputs, RUN_CONFIG)
+    effects = spark.createDataFrame([(1, 0.1), (2, 0.2)], "index int, mean double")
+    out = surveillance.postfit(inputs, prepared, {"intercept1": -1.0, "intercept2": 0.5, "mintemp": 0.3}, effects, {**RUN_CONFIG, "mask": {"temperature": 14.0}})
+    return out["classes"].select("cell_id", "longest_run")
