@@ -116,8 +116,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_docs(spark, sf_dir), target, keep=(good or 0) / rated if rated else 1.0)
 
 
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_report
+
+    return shard_report(_docs(spark, sf_dir), shards=40)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_mix, op3_token_counts, op4_lines, op5_search, op6_fingerprint, op7_near, op8_language, op9_repeats, op10_quality)}
+    return {f.__name__: f for f in (op1_pack, op2_mix, op3_token_counts, op4_lines, op5_search, op6_fingerprint, op7_near, op8_language, op9_repeats, op10_quality, op12_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
