@@ -30,7 +30,7 @@ def docs():
     return [(int(r.doc_id), None if r.text is None else r.text, r.lang, r.source) for r in d.itertuples()]
 
 
-@pytest.mark.parametrize("name", ["op4_lines", "op5_search"])
+@pytest.mark.parametrize("name", ["op4_lines", "op5_search", "op11_ranked"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
@@ -151,3 +151,13 @@ def test_op10_draws_by_gumbel_keys(spark, docs):
         assert r.gumbel_key == pytest.approx(r.log_weight - log(-log(u)), rel=1e-9)
     least = min(r.gumbel_key for r in got if r.selected)
     assert all(r.selected == (r.gumbel_key >= least) for r in got)
+
+
+def test_op12(spark, docs):
+    from epigrid.llm.sharding import permuted
+
+    got = queries.op12_shards(spark, DATA).collect()
+    order = sorted(docs, key=lambda d: d[0])
+    places = permuted(np.arange(len(docs)), len(docs))
+    want = [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "rows", int(p % 40), int(p // 40), None) for (i, t, *_), p in zip(order, places, strict=True)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
