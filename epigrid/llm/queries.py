@@ -126,11 +126,11 @@ _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 
 OP11_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
-s AS (SELECT count(*) AS N, sum(len(ts))::BIGINT AS L FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*) AS held, sum(len(ts))::BIGINT AS words FROM d WHERE len(ts) > 0),
 q AS (SELECT item_id, t, count(*) AS uses FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
 p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, doc_id, n, t),
-w AS (SELECT t, floor(1000 * ln((2 * any_value(N) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t),
-g AS (SELECT p.r, p.doc_id, p.t, w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * s.N) // s.L))) AS g FROM p JOIN w USING (t), s),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(held) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t),
+g AS (SELECT p.r, p.doc_id, p.t, w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * s.held) // s.words))) AS g FROM p JOIN w USING (t), s),
 f AS (SELECT q.item_id, g.r, any_value(g.doc_id) AS doc_id, sum(q.uses * g.g)::BIGINT AS score FROM q JOIN g USING (t) GROUP BY q.item_id, g.r)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
 FROM f WHERE score > 0 QUALIFY rank <= 10
