@@ -1,9 +1,9 @@
 """Ranked search by branch and bound over trees of maxima.
 
-Documents stand in ranges, in the order in which they are read. For every term of the
-queries a range keeps its postings and, over them, a tree: the highest weightless
-contribution of the term within each 16 documents, each 256, and the whole range. A node's
-bound for a query is the sum, over the query's terms, of weight times the node's maximum; no
+Documents stand in ranges, in the order in which they are read, and within a range by
+length, so that neighbours score alike. For every term of the queries a range keeps its
+postings and, over them, a tree: the highest weightless contribution of the term within
+each 128 documents, each 1024, and the whole range. A node's bound for a query is the sum, over the query's terms, of weight times the node's maximum; no
 document below it scores more. A search opens the node with the highest bound first and
 stops below the score that k documents already have; nodes whose bound equals it are opened,
 since a document there may tie and have a smaller id.
@@ -31,8 +31,8 @@ TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 GAP = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 #: Bytes of a text whose terms are in memory together.
 WINDOW = 1 << 20
-#: Documents of a range, and children of a node.
-RANGE, FAN = 4096, 16
+#: Documents of a range and of a leaf, and children of a node.
+RANGE, LEAF, FAN = 4096, 128, 8
 #: Ranges of a query that are searched for its floor.
 FIRST = 8
 #: Bytes of terms, and queries, of one block: what is sent to all tasks at once. More queries make more blocks.
@@ -81,7 +81,7 @@ def index_ranges(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, tex
 
         def packed():
             n = [x[2] for x in held]
-            with_hits = [x for x in held if x[3]]
+            with_hits = sorted((x for x in held if x[3]), key=lambda x: x[2])
             term, place, count = ([], [], [])
             for i, x in enumerate(with_hits):
                 term += x[3].keys()
@@ -112,8 +112,14 @@ def index_ranges(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, tex
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(ranges, INDEX)
 
 
+def _spread(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from starts[t] to starts[t + 1] of all t in at, and which t each is of."""
+    n = starts[at + 1] - starts[at]
+    return np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(at)), n)
+
+
 class Tree:
-    """One range: postings by term, and the terms' maxima by level (0: each 16 documents)."""
+    """One range: postings by term, and the terms' maxima by level (0: the leaves)."""
 
     def __init__(self, row: dict, n: int, total: int):
         get = lambda name, kind: np.frombuffer(row[name], kind)
@@ -125,7 +131,7 @@ class Tree:
         owner = np.repeat(np.arange(len(self.terms)), np.diff(self.ends))
         #: By level: node numbers, maxima, and where each term's begin.
         self.levels = []
-        width = FAN
+        width = LEAF
         while True:
             nodes = self.places // width
             first = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(nodes, prepend=-1)) if len(nodes) else np.empty(0, np.int64)
@@ -135,9 +141,28 @@ class Tree:
                 break
             width *= FAN
 
-    def spans(self, at: np.ndarray, level: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def by_leaf(self, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The weighted postings of these terms by place: places, gains, where each leaf's begin."""
+        mine, whose = _spread(self.ends, at)
+        places, gains = self.places[mine].astype(np.uint16 if len(self.ids) <= 1 << 16 else np.int32), weights[whose] * self.gains[mine]
+        order = np.argsort(places, kind="stable")
+        places = places[order].astype(np.int64)
+        return places, gains[order], np.searchsorted(places, np.arange(-(-len(self.ids) // LEAF) + 1) * LEAF)
+
+    def scores(self, leaf: int, postings: tuple) -> np.ndarray:
+        """The scores of a leaf's documents."""
+        places, gains, starts = postings
+        mine, out = slice(starts[leaf], starts[leaf + 1]), np.zeros(LEAF, np.int64)
+        np.add.at(out, places[mine] - leaf * LEAF, gains[mine])
+        return out
+
+    def bounds(self, level: int, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The bounds of all nodes of a level."""
         nodes, best, starts = self.levels[level]
-        return [(nodes[starts[t] : starts[t + 1]], best[starts[t] : starts[t + 1]]) for t in at]
+        mine, whose = _spread(starts, at)
+        out = np.zeros(-(-len(self.ids) // (LEAF * FAN**level)), np.int64)
+        np.add.at(out, nodes[mine], weights[whose] * best[mine])
+        return out
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: int) -> list[tuple[int, bool, int]]:
         """The k best (score, id known, id) that score no less than floor, which is 1 or more."""
@@ -146,31 +171,24 @@ class Tree:
         at = np.searchsorted(self.terms, terms)
         here = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms)
         at, weights = at[here], weights[here]
-        found = []
-        top = len(self.levels) - 1
-        heap = [(-int((weights * self.roots[at]).sum()), top, 0)]
+        found: list = []
+        heap = [(-int((weights * self.roots[at]).sum()), len(self.levels) - 1, 0)]
         bounds: dict[int, np.ndarray] = {}
+        postings = None
         while heap and -heap[0][0] >= floor:
             _, level, node = heapq.heappop(heap)
             if level:
-                if level not in bounds:  # of all nodes of the level below
-                    total = np.zeros(-(-len(self.ids) // FAN**level) + 1, np.int64)
-                    for w, (nodes, best) in zip(weights, self.spans(at, level - 1), strict=True):
-                        total[nodes] += w * best
-                    bounds[level] = total
+                if level not in bounds:
+                    bounds[level] = self.bounds(level - 1, at, weights)
                 below = bounds[level][node * FAN : (node + 1) * FAN]
                 for j in np.flatnonzero(below >= floor):
                     heapq.heappush(heap, (-int(below[j]), level - 1, node * FAN + int(j)))
                 continue
-            first, scores = node * FAN, np.zeros(FAN, np.int64)
-            for w, t in zip(weights, at, strict=True):
-                lo, hi = self.ends[t], self.ends[t + 1]
-                mine = self.places[lo:hi]
-                a, b = np.searchsorted(mine, (first, first + FAN))
-                scores[mine[a:b] - first] += w * self.gains[lo + a : lo + b]
-            for j in np.flatnonzero(scores >= floor):
-                found.append((-int(scores[j]), not self.known[first + j], int(self.ids[first + j])))
-            if len(found) >= k:
+            postings = postings or self.by_leaf(at, weights)
+            scores, first = self.scores(node, postings), node * LEAF
+            good = np.flatnonzero(scores >= floor)
+            found += [(-int(scores[j]), not self.known[first + j], int(self.ids[first + j])) for j in good]
+            if len(good) and len(found) >= k:
                 found = sorted(found)[:k]
                 floor = max(floor, -found[-1][0])
         return [(-s, not unknown, i) for s, unknown, i in sorted(found)[:k]]
