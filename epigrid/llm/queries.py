@@ -143,9 +143,30 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(_docs(spark, sf_dir), shards=40)
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 50 = 0", label=moved)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_sum(list_transform(list_zip(a.e, r.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_mix, op3_token_counts, op4_lines, op5_search, op6_fingerprint, op7_near, op8_language, op9_repeats, op10_quality, op11_ranked, op12_shards)}
+    return {f.__name__: f for f in (op1_pack, op2_mix, op3_token_counts, op4_lines, op5_search, op6_fingerprint, op7_near, op8_language, op9_repeats, op10_quality, op11_ranked, op12_shards, op13_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": OP4_SQL, "op5_search": OP5_SQL, "op11_ranked": OP11_SQL}
+    return {"op4_lines": OP4_SQL, "op5_search": OP5_SQL, "op11_ranked": OP11_SQL, "op13_negatives": OP13_SQL}

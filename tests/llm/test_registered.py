@@ -30,7 +30,7 @@ def docs():
     return [(int(r.doc_id), None if r.text is None else r.text, r.lang, r.source) for r in d.itertuples()]
 
 
-@pytest.mark.parametrize("name", ["op4_lines", "op5_search", "op11_ranked"])
+@pytest.mark.parametrize("name", ["op4_lines", "op5_search", "op11_ranked", "op13_negatives"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
