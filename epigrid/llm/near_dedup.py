@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_bytes, blocks, shingle_hashes, word_hashes
+from .common import Apart, Workspace, as_bytes, blocks, shingle_hashes, word_hashes
 
 HASH_BYTES = 6  # of each shingle's hash, in the sets on which links are confirmed
 SAMPLE, COMMON = 10_000, 500_000  # documents that tell which shingles are common, and how many such shingles are sent
@@ -111,21 +111,23 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int, forest: Forest) -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature, sketch) of every row."""
+    """(doc_id, text_key, n_shingles, set_id, signature, sketch) of every row; text_key is the MD5 of the text."""
 
     def sign(batches):
         import pyarrow as pa
 
         for batch in batches:
             n, key, signature, sketch = [], [], [], []
-            for s in shingle_sets(as_bytes(batch.column(1)), width):
+            texts = as_bytes(batch.column(1))
+            text_keys = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
+            for s in shingle_sets(texts, width):
                 n.append(len(s))
                 key.append(set_id(s) if len(s) else None)
                 signature.append(forest.signature(s) if len(s) else None)
                 sketch.append(forest.sketch(signature[-1]) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signature, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "set_id", "signature", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_keys, pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signature, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_id", "signature", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_id long, signature binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text_key binary, n_shingles long, set_id long, signature binary, sketch binary")
 
 
 def _candidates(ws: Workspace, reps: DataFrame, forest: Forest, percent: int) -> DataFrame:
@@ -460,19 +462,8 @@ def _settled(ws: Workspace, docs: DataFrame, reps: DataFrame, width: int, percen
     return links, part
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest: Forest | None = None, strongest: int = 3) -> DataFrame:
-    """One row a row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Texts are lower-cased (A-Z) and split into words at space and 0x09-0x0D; a text's set is
-    its distinct runs of ``width`` words, or all of its words when they are fewer. Null and
-    wordless texts have no set and link with nothing. Texts whose sets have a Jaccard
-    similarity of percent / 100 or more are linked; component_id is the smallest doc_id
-    reached, and kept says whether it is the row's own. Equal sets are compared once, so a
-    group of equal texts costs no pairs. doc_id is an integer; rows that repeat a doc_id
-    with its text share the outcome; rows with a null doc_id are kept. Other columns are
-    ignored. Candidates that the strongest of each document leave undecided are all
-    confirmed too.
-    """
+def _decided(docs: DataFrame, width: int, percent: int, forest: Forest | None, strongest: int) -> DataFrame:
+    """``near_duplicates`` with text_key, and component, null for rows that link with nothing."""
     spark, forest = docs.sparkSession, forest or Forest()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Workspace(spark, "near") as ws:
@@ -485,19 +476,58 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest:
         prefixes = _prefixes(docs.where("doc_id is not null"), signed.count(), width, percent)
         _, part = _settled(ws, docs, reps, width, percent, strongest, _apart(ws, prefixes, reps, part, forest, percent), links, part, "exact")
         named = reps.select("set_id", "rep").join(part, F.col("set_id") == F.col("id"), "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
-        names = ws.table(named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "component_id"), "names")
+        names = ws.table(named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "component", "component_id"), "names")
         out = signed.join(names, "set_id", "left")
-        component = F.coalesce("component_id", "doc_id")
-        return ws.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+        component_id = F.coalesce("component_id", "doc_id")
+        kept = F.coalesce(F.col("doc_id") == component_id, F.lit(True))
+        return ws.result(out.select("doc_id", "text_key", "n_shingles", "component", component_id.alias("component_id"), kept.alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest: Forest | None = None, strongest: int = 3) -> DataFrame:
+    """One row a row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
+    Texts are lower-cased (A-Z) and split into words at space and 0x09-0x0D; a text's set is
+    its distinct runs of ``width`` words, or all of its words when they are fewer. Null and
+    wordless texts have no set and link with nothing. Texts whose sets have a Jaccard
+    similarity of percent / 100 or more are linked; component_id is the smallest doc_id
+    reached, and kept says whether it is the row's own. Equal sets are compared once, so a
+    group of equal texts costs no pairs. doc_id is an integer; rows that repeat a doc_id
+    with its text share the outcome; rows with a null doc_id are kept. Other columns are
+    ignored. Candidates that the strongest of each document leave undecided are all
+    confirmed too.
+    """
+    return _decided(docs, width, percent, forest, strongest).select("doc_id", "n_shingles", "component_id", "kept")
 
-#: So many ids (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
+#: So many keys (24 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that a smaller doc_id of their component stands for."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Workspace(docs.sparkSession, "gone").result(gone)
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, forest: Forest | None = None, strongest: int = 3) -> DataFrame:
+    """docs with one row of each component: the one of the smallest doc_id, of texts that
+    share it the one of the smallest MD5, of equal rows the one whose JSON is smallest.
+
+    Rows go by doc_id and text together, so a text stays that has nothing to do with
+    another text of its doc_id. Rows without words or doc_id link with nothing and stay.
+    """
+    ws = Workspace(docs.sparkSession, "gone")
+    key = ["doc_id", "text_key"]
+    rows = _decided(docs, width, percent, forest, strongest).where("component is not null and doc_id is not null")
+    texts = ws.table(rows.groupBy(*key, "component", "kept").agg(F.count(F.lit(1)).alias("n")), "texts")
+    first = texts.where("kept").groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
+    stays = F.col("first") == F.struct(*key)
+    judged = ws.table(texts.join(first, "component").where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), stays.alias("again")), "judged")
+    few = judged.count() <= BROADCAST_KEYS
+    aside = Apart(docs)
+    named = aside.df.withColumn("gone_key", F.unhex(F.md5(F.coalesce(aside["text"], F.lit("")))))
+    to = lambda t: F.broadcast(t.drop("again")) if few else t.drop("again")
+    met = lambda t: (aside["doc_id"].cast("long") == t["gone_id"]) & (named["gone_key"] == t["gone_key"])
+    any_ = to(judged)
+    kept = named.join(any_, met(any_), "left_anti")
+    if judged.where("again").isEmpty():
+        return aside.back(kept)
+    # Equal texts of one doc_id that stay: one row of each.
+    again = to(judged.where("again"))
+    one = Window.partitionBy("gone_key", aside["doc_id"]).orderBy(F.to_json(F.struct(*aside.df.columns)))
+    single = named.join(again, met(again), "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
+    return aside.back(kept.unionByName(single))

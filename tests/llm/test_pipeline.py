@@ -1,5 +1,6 @@
 """The stages and the whole pipeline against plain Python."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -59,7 +60,23 @@ def first_of_each_group(rows):
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[root(i)] = min(least.get(root(i), r[0]), r[0])
-    return [r for i, r in enumerate(rows) if r[0] is None or r[0] == least[root(i)]]
+    digest = lambda r: hashlib.md5((r[1] or "").encode()).digest()
+    first = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None and sets[i] and r[0] == least[root(i)]:
+            first[root(i)] = min(first.get(root(i), (digest(r), json(r))), (digest(r), json(r)))
+    out, seen = [], set()
+    for i, r in enumerate(rows):
+        if r[0] is None or not sets[i]:
+            out.append(r)
+        elif r[0] == least[root(i)] and (digest(r), json(r)) == first[root(i)] and root(i) not in seen:
+            seen.add(root(i))
+            out.append(r)
+    return out
+
+
+def json(r):
+    return [str(x) for x in r]
 
 
 def key(rows):
@@ -97,16 +114,26 @@ def test_stages_and_run(spark, tmp_path):
 
 
 def test_stages_keep_columns_of_any_name(spark):
-    names = ["_size", "_copy", "_bad", "_salt", "_gone", "_own_lang_pred", "lang_pred", "score", "removed_lines", "copies", "own_0", "slot", "set_id"]
+    names = ["a.b", "a`b", "gone_key", "again", "text_key", "nth", "_size", "_copy", "_bad", "_salt", "_gone", "_own_lang_pred", "lang_pred", "score", "removed_lines", "copies", "own_0", "slot", "set_id"]
     docs = documents(spark)
     more = docs.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    quoted = ["`" + n.replace("`", "``") + "`" for n in names]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         more = Workspace(spark, f"any-{name}").result(stage(spark, more, ""))
         docs = Workspace(spark, f"plain-{name}").result(stage(spark, docs, ""))
-        assert more.columns == [*docs.columns, *names] and more.select(*names).distinct().collect() == [tuple(f"mine {n}" for n in names)]
+        assert more.columns == [*docs.columns, *names] and more.select(*quoted).distinct().collect() == [tuple(f"mine {n}" for n in names)]
         assert key(more.select(*docs.columns).collect()) == key(docs.collect())
 
 
+def test_repeated_ids_lose_no_text(spark):
+    """Texts that share an id with a copy of another text stay; of equal rows one stays."""
+    a, b, c = ("the quick brown fox jumps over", "a text of quite another kind", "and a third one, with more words")
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1), (3, c, "en", "s", 1), (4, "", "en", "s", 0), (4, "", "en", "s", 0), (None, a, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert key(got.collect()) == key([rows[0], rows[2], rows[3], rows[5], rows[6], rows[7]]) == key(first_of_each_group(rows))
+
+
 def test_stages_on_an_empty_table(spark):
     docs = documents(spark).limit(0)
     for name, stage in corpus_pipeline.STAGES:
