@@ -28,7 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source taken out; n_chars follows the text."""
     clean = drop_boilerplate(docs.withColumnsRenamed({"removed_lines": "_own_removed_lines"}), host="source", ratio=0.1, least_pages=3)
     clean = clean.drop("removed_lines").withColumnsRenamed({"_own_removed_lines": "removed_lines"})
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return clean.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
