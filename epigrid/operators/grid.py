@@ -31,10 +31,12 @@ def bilinear(points: DataFrame, values: DataFrame, grid: Grid, keys: list[str],
     return points.join(sums, [*keys, *[b for b in by if b not in keys]], "left")
 
 
-def nearest_valid(points: DataFrame, values: DataFrame, grid: Grid, keys: list[str], radius: float, x: str = "x", y: str = "y", lonlat: bool = False, unit_km: float = 1.0) -> DataFrame:
+def nearest_valid(points: DataFrame, values: DataFrame, grid: Grid, keys: list[str], radius: float, x: str = "x", y: str = "y", lonlat: bool = False, unit_km: float = 1.0, by: list[str] | None = None) -> DataFrame:
     """The nearest cell with a value within ``radius`` km of each point: keys, nearest_cell,
     nearest_value, distance_km (the lowest cell on ties). Only the cells of the window
-    that the radius spans are looked at: a bounded list of offsets, joined by cell."""
+    that the radius spans are looked at: a bounded list of offsets, joined by cell. by:
+    keys that values have, too (the week, the variable)."""
+    by = by or []
     per_y = radius / 111.32 if lonlat else radius / unit_km
     rows = math.ceil(per_y / grid.height)
     shrink = F.greatest(F.cos(F.radians(F.col(y))), F.lit(0.01)) if lonlat else F.lit(1.0)
@@ -44,7 +46,7 @@ def nearest_valid(points: DataFrame, values: DataFrame, grid: Grid, keys: list[s
     spread = spread.withColumn("_r", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_r") - rows), F.least(F.lit(grid.rows - 1), F.col("_r") + rows)))).where(F.col("_r").between(0, grid.rows - 1))
     spread = spread.withColumn("_c", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_c") - F.col("_n")), F.least(F.lit(grid.cols - 1), F.col("_c") + F.col("_n"))))).where(F.col("_c").between(0, grid.cols - 1))
     spread = spread.withColumn("cell_id", (F.col("_r") * grid.cols + F.col("_c") + 1).cast("long"))
-    near = spread.join(values.where(finite("value")).select("cell_id", "value"), "cell_id")
+    near = spread.join(values.where(finite("value")).select(*by, "cell_id", "value"), [*by, "cell_id"])
     cx, cy = grid.center("cell_id")
     if lonlat:  # each candidate's own mean latitude
         km = F.sqrt(F.pow((cx - F.col("_x")) * 111.32 * F.cos(F.radians((cy + F.col("_y")) / 2)), F.lit(2)) + F.pow((cy - F.col("_y")) * 111.32, F.lit(2)))
@@ -71,6 +73,18 @@ def extraction_audit(extracted: DataFrame, by: list[str]) -> DataFrame:
     return extracted.groupBy(*by).agg(n("direct"), n("fallback"), n("unresolved"), F.min("distance_km").alias("min_km"), F.percentile("distance_km", F.lit(0.5)).alias("median_km"), F.max("distance_km").alias("max_km"), F.array_join(F.array_sort(F.collect_set("distance_class")), ";").alias("distance_classes"))
 
 
+def gap_summary(gaps: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each place and variable (``by``) with gaps, a gap a row with nearest_value and
+    distance_km (null where no valid cell was near): weeks without a direct value, how many
+    of them the nearest cell filled, distances, and the distance classes that occur, in order."""
+    found = F.col("nearest_value").isNotNull()
+    return gaps.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("weeks_affected"), F.count(F.when(found, 1)).alias("fallback_success_weeks"), F.count(F.when(~found, 1)).alias("unresolved_weeks"),
+        F.min("distance_km").alias("nearest_min_km"), F.percentile("distance_km", F.lit(0.5)).alias("nearest_median_km"), F.max("distance_km").alias("nearest_max_km"),
+        F.array_join(F.array_sort(F.collect_set(distance_bin("distance_km"))), ";").alias("nearest_distance_bins"),
+    )
+
+
 def missing_diagnostics(extracted: DataFrame, stack: DataFrame, grid: Grid, variable: str, scope: str = "dynamic", x: str = "x", y: str = "y") -> DataFrame:
     """A row for each unresolved row of ``extract_with_fallback``: what was tried, the nearest
     valid cell however far it is known, and the raster it was sought in. stack: cell_id, value."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,21 @@ from ..functions.nulls import clean_doubles, finite, require_columns
 from ..operators.sets import assert_unique_keys
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name in ``spark.checkpoint.dir``, which all machines share; what is written there goes when
+    the application ends. Where the setting is unset on one machine, a temporary folder takes its place."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="epigrid-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV with a header; without a schema one is inferred. NaN becomes null."""
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
