@@ -167,7 +167,7 @@ def preflight_projection(spark, sf_dir):
 MASK = {"tier1": "link = 1 AND y1 IS NOT NULL", "tier2": "link = 2 AND y2 IS NOT NULL", "tier1_rows": "link = 1", "tier2_rows": "link = 2", "any": "y1 IS NOT NULL OR y2 IS NOT NULL"}
 NONE = "NULL::INTEGER"
 METRICS = f"{STACK}, {MATRIX}, {LATENT}, m AS (" + " UNION ALL ".join(f"""SELECT '{t.name}' AS term, '{t.active}' AS mask, {str(t.whole).lower()} AS whole, {t.least if t.least is not None else NONE} AS least, {t.most if t.most is not None else NONE} AS most, {t.levels or NONE} AS levels, {str(t.contiguous).lower()} AS contiguous, (SELECT count(*) FROM st WHERE {MASK[t.active]}) AS active_rows,
-(SELECT count(*) FROM st WHERE {MASK[t.active]}) - count(DISTINCT row) AS unprojected_rows, count(DISTINCT col) FILTER (NOT isnan(v)) AS finite_count, count(DISTINCT col) FILTER (isnan(v)) AS nonfinite_count, count(DISTINCT col) FILTER (abs(v - round(v)) > 1.5e-8) AS fractions, count(DISTINCT col) FILTER (v < {t.least if t.least is not None else 'NULL'}) AS below, count(DISTINCT col) FILTER (v > {t.most if t.most is not None else 'NULL'} AND NOT isnan(v)) AS above,
+(SELECT count(*) FROM st WHERE {MASK[t.active]}) - count(DISTINCT row) AS unprojected_rows, count(DISTINCT col) FILTER (NOT isnan(v)) AS finite_count, count(DISTINCT col) FILTER (isnan(v)) AS nonfinite_count, count(DISTINCT col) FILTER (abs(v - round(v)) > 1.5e-8 AND NOT isnan(v)) AS fractions, count(DISTINCT col) FILTER (v < {t.least if t.least is not None else 'NULL'}) AS below, count(DISTINCT col) FILTER (v > {t.most if t.most is not None else 'NULL'} AND NOT isnan(v)) AS above,
 count(DISTINCT v) FILTER (NOT isnan(v)) AS unique_count, min(v) FILTER (NOT isnan(v)) AS minimum, max(v) FILTER (NOT isnan(v)) AS maximum FROM (SELECT a.row, a.col, la.{t.name} AS v FROM a JOIN st ON a.row = st.row JOIN la ON a.col = la.col WHERE a.v <> 0 AND ({MASK[t.active]}) AND la.{t.name} IS NOT NULL)""" for t in TERMS) + ")"
 
 
