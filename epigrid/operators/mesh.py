@@ -49,7 +49,8 @@ def dual_areas(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
 def dual_cells(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     """(node, wkt): the polygon through the centroids of a node's triangles and the
     midpoints of its sides, sorted by angle; a node on the boundary is a corner itself.
-    A node has a handful of triangles, so its group is small."""
+    A node has a handful of triangles, so its group is small. Around an inner node the cell
+    has the area that ``dual_areas`` gives."""
     t = _corners(nodes, triangles)
     cx, cy = (F.col("x1") + F.col("x2") + F.col("x3")) / 3, (F.col("y1") + F.col("y2") + F.col("y3")) / 3
     point = lambda x, y: F.struct(x.alias("px"), y.alias("py"))
@@ -59,16 +60,11 @@ def dual_cells(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     edge = boundary(triangles)
     outer = edge.select(F.col("a").alias("node")).unionByName(edge.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", "x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
 
-    def order(pdf):
-        import numpy as np
-        import pandas as pd
-
-        x, y = pdf["px"].to_numpy(), pdf["py"].to_numpy()
-        at = np.argsort(np.arctan2(y - y.mean(), x - x.mean()), kind="stable")
-        ring = [f"{x[i]!r} {y[i]!r}".replace("np.float64(", "").replace(")", "") for i in [*at, at[0]]]
-        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "wkt": [f"POLYGON(({', '.join(ring)}))"]})
-
-    return points.unionByName(outer).groupBy("node").applyInPandas(order, "node long, wkt string")
+    mean = lambda c: F.aggregate("ps", F.lit(0.0), lambda a, p: a + p[c]) / F.size("ps")
+    ring = points.unionByName(outer).groupBy("node").agg(F.collect_list(F.struct("px", "py")).alias("ps")).withColumns({"mx": mean("px"), "my": mean("py")})
+    turned = F.array_sort(F.transform("ps", lambda p: F.struct(F.atan2(p["py"] - F.col("my"), p["px"] - F.col("mx")).alias("at"), p["px"].alias("px"), p["py"].alias("py"))))
+    texts = F.transform(turned, lambda p: F.concat_ws(" ", p["px"].cast("string"), p["py"].cast("string")))
+    return ring.withColumn("t", texts).select("node", F.concat(F.lit("POLYGON(("), F.array_join("t", ", "), F.lit(", "), F.element_at("t", 1), F.lit("))")).alias("wkt"))
 
 
 def projector(points: DataFrame, nodes: DataFrame, triangles: DataFrame, row_id: str, group: str | None = None, size: float | None = None) -> DataFrame:

@@ -110,28 +110,90 @@ def front_velocity(fronts: DataFrame) -> DataFrame:
 
 
 def smooth_walk(fronts: DataFrame, value: str = "advance", precision: float = 10.0) -> DataFrame:
-    """The mean of a first-order random walk around the daily values: a tridiagonal system
-    with one unknown a day, solved in one task, as days are few."""
-    schema = "day date, smoothed double"
-
-    def solve(batches):
-        import numpy as np
-        import pandas as pd
-
-        rows = pd.concat(list(batches))
-        rows = rows.sort_values("day")
-        v = rows[value].to_numpy(dtype=float)
+    """(day, smoothed): ``smooth_walks`` of one daily series without gaps."""
+    first = fronts.agg(F.min("day").alias("first"))
+    numbered = fronts.crossJoin(F.broadcast(first)).select(F.lit(0).alias("series"), F.date_diff("day", "first").cast("long").alias("i"), "first", value)
+    days = numbered.select("series", "i", F.date_add("first", F.col("i").cast("int")).alias("day"))
+    return days.join(smooth_walks(numbered, ["series"], "i", value, precision), ["series", "i"]).select("day", "smoothed")
+
+
+def _eliminated(lower, diagonal, upper, right):
+    """The solution of tridiagonal systems with one matrix and the columns of ``right``."""
+    import numpy as np
+
+    n, d, r = len(diagonal), diagonal.copy(), np.array(right, dtype=float)
+    for k in range(1, n):
+        f = lower[k] / d[k - 1]
+        d[k] -= f * upper[k - 1]
+        r[k] -= f * r[k - 1]
+    for k in reversed(range(n)):
+        r[k] = (r[k] - (upper[k] * r[k + 1] if k + 1 < n else 0)) / d[k]
+    return r
+
+
+def smooth_walks(series: DataFrame, keys: list[str], order: str, value: str, precision: float = 10.0, block: int = 512) -> DataFrame:
+    """(keys, order, smoothed): the mean of a first-order random walk around the values of
+    each series, a tridiagonal system with one unknown a step. ``order`` is a whole number
+    that rises by one; values that are not finite are filled by the walk.
+
+    Series are cut into blocks of ``block`` steps. Each block's inner unknowns are eliminated
+    in a task of its own, in terms of its two ends; the ends of a series make a tridiagonal
+    system of two unknowns a block, solved in one task a series; the inner ones follow."""
+    import numpy as np
+    import pandas as pd
+
+    kinds, block = dict(series.dtypes), max(2, block)  # only the last block of a series can have a single step
+    typed = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    rows = series.select(*keys, F.col(order).cast("long").alias("_i"), F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_i").alias("_first"), F.max("_i").alias("_last"))
+    rows = rows.join(ends, keys).withColumn("_b", F.expr(f"(_i - _first) div {block}"))
+
+    def system(pdf):
+        pdf = pdf.sort_values("_i")
+        i, v = pdf["_i"].to_numpy(), pdf["_v"].to_numpy(dtype=float)
         have = np.isfinite(v)
-        n = len(v)
-        diagonal = have.astype(float) + precision * (np.r_[0, np.ones(n - 1)] + np.r_[np.ones(n - 1), 0]) + (1e-9 if n else 0)
-        right, upper = np.where(have, v, 0.0), np.full(n, -precision)
-        for i in range(1, n):
-            f = upper[i - 1] / diagonal[i - 1]
-            diagonal[i] -= f * upper[i - 1]
-            right[i] -= f * right[i - 1]
-        out = np.zeros(n)
-        for i in reversed(range(n)):
-            out[i] = (right[i] - (upper[i] * out[i + 1] if i + 1 < n else 0)) / diagonal[i]
-        yield pd.DataFrame({"day": rows["day"], "smoothed": out})
-
-    return fronts.select("day", value).coalesce(1).mapInPandas(solve, schema)
+        first, last = pdf["_first"].iloc[0], pdf["_last"].iloc[0]
+        diagonal = have + precision * ((i > first).astype(float) + (i < last)) + 1e-9
+        return pdf, i, diagonal, np.where(have, v, 0.0), first, last
+
+    def inner(diagonal, right):
+        """Columns: the right side's part of the inner unknowns, and those of the two ends."""
+        n = len(diagonal) - 2
+        sides = np.zeros((n, 3))
+        sides[:, 0], sides[0, 1], sides[-1, 2] = right[1:-1], precision, precision
+        off = np.full(n, -precision)
+        return _eliminated(off, diagonal[1:-1], off, sides)
+
+    def condense(pdf):
+        """The equations of a block's ends: previous end, own, next end, right side."""
+        pdf, i, diagonal, right, first, last = system(pdf)
+        n, before, after = len(i), (-precision if i[0] > first else 0.0), (-precision if i[-1] < last else 0.0)
+        if n == 1:  # the last block: both ends are one
+            low, high = (before, diagonal[0], 0.0, right[0]), (-1.0, 1.0, 0.0, 0.0)
+        elif n == 2:
+            low, high = (before, diagonal[0], -precision, right[0]), (-precision, diagonal[1], after, right[1])
+        else:
+            x = inner(diagonal, right)
+            low = (before, diagonal[0] - precision * x[0, 1], -precision * x[0, 2], right[0] + precision * x[0, 0])
+            high = (-precision * x[-1, 1], diagonal[-1] - precision * x[-1, 2], after, right[-1] + precision * x[-1, 0])
+        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], pdf["_b"].iloc[0], *low, *high]])
+
+    def settle(pdf):
+        pdf = pdf.sort_values("_b")
+        eq = pdf.iloc[:, len(keys) + 1 :].to_numpy(dtype=float).reshape(-1, 4)
+        x = _eliminated(eq[:, 0], eq[:, 1], eq[:, 2], eq[:, 3:4])[:, 0].reshape(-1, 2)
+        return pdf[[*keys, "_b"]].assign(_low=x[:, 0], _high=x[:, 1])
+
+    def fill(pdf):
+        pdf, i, diagonal, right, *_ = system(pdf)
+        low, high = pdf["_low"].iloc[0], pdf["_high"].iloc[0]
+        x = np.full(len(i), low)
+        x[-1] = high if len(i) > 1 else low
+        if len(i) > 2:
+            x[1:-1] = inner(diagonal, right) @ np.array([1.0, low, high])
+        return pd.DataFrame({**{k: pdf[k] for k in keys}, order: i, "smoothed": x})
+
+    equations = ", ".join(f"_{s}{k} double" for s in ("l", "h") for k in range(4))
+    condensed = rows.groupBy(*keys, "_b").applyInPandas(condense, f"{typed}, _b long, {equations}")
+    solved = condensed.groupBy(*keys).applyInPandas(settle, f"{typed}, _b long, _low double, _high double")
+    return rows.join(solved, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(fill, f"{typed}, {order} long, smoothed double")

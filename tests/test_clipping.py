@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from epigrid.functions.places import Grid
-from epigrid.operators import clipping, geometry, support
+from epigrid.operators import clipping, geometry, quadtree, support
 
 
 def inside(rings, x, y):
@@ -142,3 +142,19 @@ def test_weekly_gaps(spark):
     assert (got[1].weeks_affected, got[1].fallback_success_weeks, got[1].unresolved_weeks) == (3, 1, 2)  # week 2 has three cells left
     assert (got[2].weeks_affected, got[2].fallback_success_weeks) == (2, 1)
     assert got[1].nearest_min_km == pytest.approx(math.sqrt(0.5)) and got[2].nearest_median_km == pytest.approx(1.0)
+
+
+def test_crowded_points_go_to_many_small_leaves(spark):
+    """Against the plain way; half of the points stand at one place, which no square can split."""
+    rng = random.Random(2)
+    domain = frame(spark, {k: [star(rng, rng.uniform(0, 10), rng.uniform(0, 10), 2.5, 14)] for k in range(6)} | {50: [square(2, 2, 6), square(4, 4, 2)]})
+    spots = [(i, rng.uniform(-1, 11), rng.uniform(-1, 11)) for i in range(600)] + [(i, 4.0, 3.0) for i in range(600, 900)] + [(i, 4.001 + rng.random() / 1000, 3.0) for i in range(900, 1200)] + [(1200, 2.0, 2.0), (1201, 4.0, 5.0), (1202, 8.0, 8.0)]
+    points = spark.createDataFrame(spots, "k long, x double, y double")
+    for strict in (False, True):
+        want = {tuple(r) for r in geometry.point_polygons(points, domain, ["k"], strict).collect()}
+        for most in (10, 200, 10_000):
+            assert {tuple(r) for r in quadtree.located(points, domain, ["k"], strict, most=most).collect()} == want
+    counts = spark.createDataFrame([(0, 0, 5), (1, 0, 4), (2, 2, 1), (31, 31, 300)], "_i long, _j long, _n long")
+    got = {(r._i, r._j): (r._k, r._salts) for r in quadtree.leaves(counts, 10).collect()}
+    assert got == {(0, 0): (4, 1), (1, 0): (4, 1), (2, 2): (4, 1), (31, 31): (0, 30)}
+    assert quadtree.located(points, domain.where("false"), ["k"]).collect() == []

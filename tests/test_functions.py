@@ -109,3 +109,26 @@ def test_grid_and_projection(spark):
     exact = (places.SEMI_MAJOR / 1000) ** 2 * (1 - e2) / (1 - e2 * s * s) ** 2 * math.cos(math.radians(15)) * math.radians(2 * d) ** 2
     assert abs(area / exact - 1) < 1e-5
     assert places.unit_factor('PROJCS["a",UNIT["kilometre",1000]]') == 1000 and places.unit_factor('LENGTHUNIT["metre",1]') == 1
+
+
+def test_units_of_well_known_texts():
+    old = 'PROJCS["a ""b"" [c",GEOGCS["g",UNIT["degree",0.0174532925199433]],PROJECTION["Albers"],UNIT["US survey foot",0.304800609601219]]'
+    new = 'PROJCRS["n",BASEGEOGCRS["g",ANGLEUNIT["degree",0.0174]],CS[Cartesian,2],AXIS["e",east,LENGTHUNIT["kilometre",1000]],AXIS["n",north,LENGTHUNIT["kilometre",1000]]]'
+    assert places.unit_factor(old) == 0.304800609601219 and places.unit_factor(new) == 1000
+    assert places.unit_factor('PROJCS["a",UNIT["kilometre"]]') == 1000 and places.unit_factor('PROJCS["a"]') == 1 and places.unit_factor("") == 1
+    assert places.wkt_tree(old)[1] == 'a "b" [c'
+    for bad in ('GEOGCS["g",UNIT["degree",0.017]]', 'PROJCS["a"', "]"):
+        try:
+            places.unit_factor(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_albers_there_and_back(spark):
+    rows = [(float(lon), float(lat)) for lon in (-179, -96, 0, 60, 83) for lat in (-70, -10, 0, 23, 37.5, 60, 85)]
+    df = spark.createDataFrame(rows, "lon double, lat double")
+    for at in ({"lon0": -96.0, "lat0": 23.0, "lat1": 29.5, "lat2": 45.5}, {"lon0": 0.0, "lat0": -20.0, "lat1": -35.0, "lat2": -10.0}, {"lon0": 10.0, "lat0": 40.0, "lat1": 40.0, "lat2": 40.0}):
+        x, y = places.albers("lon", "lat", **at)
+        back = df.withColumns({"x": x, "y": y}).withColumns(dict(zip(("lon2", "lat2"), places.albers_inverse("x", "y", **at), strict=True))).collect()
+        assert max(max(abs(r.lon - r.lon2), abs(r.lat - r.lat2)) for r in back) < 1e-9

@@ -322,3 +322,19 @@ def test_gates(spark):
     assert found == {"whole": "FAIL", "from_one": "PASS", "no_gap": "FAIL"}
     accept = gates.acceptance(spark.createDataFrame([("PASS",), ("WARNING",)], "status string")).first().outcome
     assert accept == "PASS_WITH_NONBLOCKING_WARNINGS"
+
+
+def test_walks_in_blocks_equal_a_dense_solve(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, block in ((1, 4), (2, 4), (4, 4), (5, 4), (6, 4), (41, 4), (40, 8), (30, 1), (30, 2), (30, 3), (10, 100)):
+        series = {k: [None if rng.random() < 0.3 else float(rng.normal()) for _ in range(n)] for k in "ab"}
+        rows = [(k, i + 7, v) for k, vs in series.items() for i, v in enumerate(vs)]
+        df = spark.createDataFrame(rows, "k string, i long, v double")
+        got = {(r.k, r.i): r.smoothed for r in persistence.smooth_walks(df, ["k"], "i", "v", 10.0, block).collect()}
+        for k, vs in series.items():
+            step = np.diff(np.eye(n), axis=0) if n > 1 else np.zeros((0, n))
+            a = np.diag([1e-9 + (v is not None) for v in vs]) + 10.0 * step.T @ step
+            want = np.linalg.solve(a, [v or 0.0 for v in vs])
+            assert np.allclose([got[k, i + 7] for i in range(n)], want, rtol=1e-6, atol=1e-9), (n, block)
