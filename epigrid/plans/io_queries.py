@@ -220,8 +220,8 @@ def crowded_points(spark, sf_dir):
 
 def _part_mesh(spark, sf_dir):
     """Parts as nodes, 20 a row, off their places by a little; squares of four parts cut in two."""
-    k = F.col("p_partkey") - 1
-    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node"), (k % 20 + (k * 7 % 5) / 20).alias("x"), (F.floor(k / 20) + (k * 3 % 7) / 30).alias("y"))
+    k = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select((k + 1).cast("long").alias("node"), (k % 20 + (k * 7 % 5) / 20).alias("x"), (F.floor(k / 20) + (k * 3 % 7) / 30).alias("y"))
     here = nodes.select("node").where("(node - 1) % 20 < 19")
     whole = here.join(nodes.select((F.col("node") - 21).alias("node")), "node")
     two = F.array(F.struct(F.lit(0).alias("h"), F.col("node").alias("n1"), (F.col("node") + 1).alias("n2"), (F.col("node") + 21).alias("n3")), F.struct(F.lit(1).alias("h"), F.col("node").alias("n1"), (F.col("node") + 21).alias("n2"), (F.col("node") + 20).alias("n3")))
@@ -229,7 +229,7 @@ def _part_mesh(spark, sf_dir):
     return nodes, triangles
 
 
-MESH = """nd AS (SELECT p_partkey::BIGINT AS node, (p_partkey - 1) % 20 + ((p_partkey - 1) * 7 % 5) / 20 AS x, (p_partkey - 1) // 20 + ((p_partkey - 1) * 3 % 7) / 30 AS y FROM part), sq AS (SELECT a.node FROM nd a JOIN nd b ON b.node = a.node + 21 WHERE (a.node - 1) % 20 < 19),
+MESH = """nd AS (SELECT p_partkey::BIGINT + 1 AS node, p_partkey % 20 + (p_partkey * 7 % 5) / 20 AS x, p_partkey // 20 + (p_partkey * 3 % 7) / 30 AS y FROM part), sq AS (SELECT a.node FROM nd a JOIN nd b ON b.node = a.node + 21 WHERE (a.node - 1) % 20 < 19),
 tr AS (SELECT node AS n1, node + 1 AS n2, node + 21 AS n3 FROM sq UNION ALL SELECT node, node + 21, node + 20 FROM sq), sd AS (SELECT least(n1, n2) AS a, greatest(n1, n2) AS b FROM tr UNION ALL SELECT least(n2, n3), greatest(n2, n3) FROM tr UNION ALL SELECT least(n1, n3), greatest(n1, n3) FROM tr),
 bd AS (SELECT a, b FROM sd GROUP BY ALL HAVING count(*) = 1)"""
 
