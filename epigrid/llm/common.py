@@ -38,6 +38,28 @@ def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     importable(spark)
 
 
+def lean(of):
+    """A function of Arrow batches that, when its task ends, gives freed memory back to the machine:
+    a Python worker goes on to other tasks and would keep the most that it ever used."""
+
+    def batches_of(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from of(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return batches_of
+
+
 class Workspace:
     """Tables that cut lineage, written as Parquet in the shared folder.
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Apart, Workspace, blocks, bounded_batches
+from .common import Apart, Workspace, blocks, bounded_batches, lean
 
 UNDETERMINED = "und"
 CORE, WARM = 96, 16  # positions that a window labels, and bytes before and after that it only reads
@@ -252,7 +252,7 @@ def identify_languages(docs: DataFrame, known: Languages) -> DataFrame:
     bounded_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(lean(predict), f"{schema}, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame, **options) -> DataFrame:

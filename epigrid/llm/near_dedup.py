@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Apart, Workspace, as_bytes, blocks, shingle_hashes, word_hashes
+from .common import Apart, Workspace, as_bytes, blocks, lean, shingle_hashes, word_hashes
 
 HASH_BYTES = 6  # of each shingle's hash, in the sets on which links are confirmed
 SAMPLE, COMMON = 10_000, 500_000  # documents that tell which shingles are common, and how many such shingles are sent
@@ -127,7 +127,7 @@ def _signed(docs: DataFrame, width: int, forest: Forest) -> DataFrame:
                 sketch.append(forest.sketch(signature[-1]) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_keys, pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signature, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_id", "signature", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text_key binary, n_shingles long, set_id long, signature binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(sign), "doc_id long, text_key binary, n_shingles long, set_id long, signature binary, sketch binary")
 
 
 def _candidates(ws: Workspace, reps: DataFrame, forest: Forest, percent: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _candidates(ws: Workspace, reps: DataFrame, forest: Forest, percent: int) ->
             yield pairs(*now)
             carried = [x[-overlap:] for x in now]
 
-    found = ranged.mapInArrow(neighbours, "a long, b long, trees long")
+    found = ranged.mapInArrow(lean(neighbours), "a long, b long, trees long")
     return ws.table(found.groupBy("a", "b").agg(F.sum("trees").alias("trees")), "candidates")
 
 
@@ -181,7 +181,7 @@ def _common_shingles(docs: DataFrame, n_docs: int, width: int) -> tuple[np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
 
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, 1_000_000 * SAMPLE // max(n_docs, SAMPLE))).select("text")
-    counts = part.mapInArrow(some, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    counts = part.mapInArrow(lean(some), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
     s, n = np.asarray(counts.column(0)).astype(np.int64).view(np.uint64), np.asarray(counts.column(1)).astype(np.int64)
     order = np.argsort(s)
     return s[order], n[order]
@@ -236,7 +236,7 @@ def _prefixes(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFra
             yield held
 
     form = "shingle long, set_id long, n int, at int"
-    return docs.select("text").mapInArrow(rarest, form).repartition("shingle").sortWithinPartitions("shingle", "set_id").mapInArrow(shared, form)
+    return docs.select("text").mapInArrow(lean(rarest), form).repartition("shingle").sortWithinPartitions("shingle", "set_id").mapInArrow(lean(shared), form)
 
 
 class Meeting:
@@ -343,7 +343,7 @@ def _apart(ws: Workspace, prefixes: DataFrame, reps: DataFrame, part: DataFrame,
         if held:
             yield solve(held, True)[0]
 
-    met = dealt.mapInArrow(meet, "a long, b long, trees long")
+    met = dealt.mapInArrow(lean(meet), "a long, b long, trees long")
     return ws.table(met.groupBy("a", "b").agg(F.max("trees").alias("trees")), "apart")
 
 
@@ -369,7 +369,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("id").alias("b"), F.col("shingles").alias("theirs"))
     two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("ours"))
     both = pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ours", "theirs")
-    return both.mapInArrow(confirm, "a long, b long")
+    return both.mapInArrow(lean(confirm), "a long, b long")
 
 
 #: Bits of the filter on the documents whose sets are needed: 4 MB, however many they are.
@@ -434,7 +434,7 @@ def _sets(ws: Workspace, docs: DataFrame, reps: DataFrame, candidates: DataFrame
             sets = [(packed(s), set_id(s) if len(s) else None) for s in shingle_sets(as_bytes(some.column(1)), width)]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x for _, x in sets], pa.int64()), pa.array([x for x, _ in sets], pa.binary())], names=["rep", "id", "shingles"])
 
-    sets = slotted.mapInArrow(pack, "rep long, id long, shingles binary")
+    sets = slotted.mapInArrow(lean(pack), "rep long, id long, shingles binary")
     sets = sets.join(sides.withColumnRenamed("set_id", "id"), ["rep", "id"], "left_semi")
     return ws.table(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), f"{name}-sets")
 
