@@ -62,11 +62,16 @@ def prepare_gate(grid: DataFrame, weeks: int, cells: int, groups: dict[str, int]
     return checks_from(grid, "prepare", rules)
 
 
-def fit_health(run: DataFrame, summaries: DataFrame, criteria: DataFrame, components: list[str] | None = None) -> DataFrame:
+def _beside(a: DataFrame, b: DataFrame, by: list[str] | None) -> DataFrame:
+    """Two tables of one row, or of one row a run, as one."""
+    return a.join(b, by) if by else a.crossJoin(F.broadcast(b))
+
+
+def fit_health(run: DataFrame, summaries: DataFrame, criteria: DataFrame, components: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """A finished fit. run: one row with families (array), status, ok, configured and recorded
     initialization, theta_ok, n_observed, n_latent, n_total, stack_rows, warnings. summaries:
     section (fixed, hyper or a component), mean, sd, q025, q975. criteria: criterion,
-    requested, value."""
+    requested, value. by: columns that name the run, for many runs at once."""
     components = components or COMPONENTS
     previous = F.col("recorded") == "previous_theta"
     bad = lambda c: F.count(F.when(~F.coalesce(c, F.lit(False)), 1))
@@ -79,7 +84,7 @@ def fit_health(run: DataFrame, summaries: DataFrame, criteria: DataFrame, compon
         ("joint_stack_structure", "BLOCKING", bad(F.col("stack_rows") == F.col("n_observed")), "the stack has the observed rows"),
         ("predictor_layout", "BLOCKING", bad(F.col("n_observed") + F.col("n_latent") == F.col("n_total")), "observed and latent blocks add up"),
         ("fit_warnings_recorded", "WARNING", F.coalesce(F.sum("warnings"), F.lit(0)), "the fit gave no warnings"),
-    ])
+    ], by)
     numbers = finite("mean") & (F.col("sd").isNull() | finite("sd")) & (F.col("q025").isNull() | finite("q025")) & (F.col("q975").isNull() | finite("q975"))
     sections = ["fixed", "hyper", *components]
     rules = [("required_random_components", "BLOCKING", F.lit(len(components)) - F.count_distinct(F.when(F.col("section").isin(components), F.col("section"))), "all random components are summarized")]
@@ -88,34 +93,34 @@ def fit_health(run: DataFrame, summaries: DataFrame, criteria: DataFrame, compon
         rules.append((f"summary_{s}_finite", "BLOCKING", F.count(F.when(mine & ~numbers, 1)) + F.when(F.count(F.when(mine, 1)) == 0, 1).otherwise(0), f"summaries of {s} are there and finite"))
     wanted = F.coalesce(F.col("requested"), F.lit(False))
     more = [(f"{c}_finite", "WARNING", F.when(F.count(F.when((F.col("criterion") == c) & wanted & finite("value"), 1)) > 0, 0).otherwise(1), f"{c} was asked for and is finite") for c in ("dic", "waic", "marginal_log_likelihood")]
-    return union(one, checks_from(summaries, "fit_health", rules), checks_from(criteria, "fit_health", more))
+    return union(one, checks_from(summaries, "fit_health", rules, by), checks_from(criteria, "fit_health", more, by))
 
 
-def extraction_audit(rows: DataFrame, source: DataFrame, counts: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
+def extraction_audit(rows: DataFrame, source: DataFrame, counts: DataFrame, expected: dict[str, int] | None = None, by: list[str] | None = None) -> DataFrame:
     """Fitted values mapped to the stack. rows: tier, link, family_index, response_training,
     fitted_mean; source: tier, response_training, is_test_point (what went in); counts: name,
-    n (of effects, levels and bins). Rows and responses of each tier must be those of the source."""
+    n (of effects, levels and bins). Rows and responses of each tier must be those of the source. by: the columns that name a run."""
     tiers = (("tier1", 1), ("tier2", 2))
-    by = lambda c: F.count(F.when(c, 1))
-    sums = lambda df: df.agg(*[by((F.col("tier") == t)).alias(f"rows_{t}") for t, _ in tiers], *[by((F.col("tier") == t) & F.col("response_training").isNotNull()).alias(f"active_{t}") for t, _ in tiers])
+    runs, by = by, lambda c: F.count(F.when(c, 1))
+    sums = lambda df: df.groupBy(*(runs or [])).agg(*[by((F.col("tier") == t)).alias(f"rows_{t}") for t, _ in tiers], *[by((F.col("tier") == t) & F.col("response_training").isNotNull()).alias(f"active_{t}") for t, _ in tiers])
     a = sums(rows)
-    b = source.agg(*[by((F.col("tier") == t)).alias(f"s_rows_{t}") for t, _ in tiers], *[by((F.col("tier") == t) & F.col("response_training").isNotNull()).alias(f"s_active_{t}") for t, _ in tiers], by(F.col("is_test_point") & F.col("response_training").isNotNull()).alias("leaks"))
-    both = a.crossJoin(F.broadcast(b))  # a row each
+    b = source.groupBy(*(runs or [])).agg(*[by((F.col("tier") == t)).alias(f"s_rows_{t}") for t, _ in tiers], *[by((F.col("tier") == t) & F.col("response_training").isNotNull()).alias(f"s_active_{t}") for t, _ in tiers], by(F.col("is_test_point") & F.col("response_training").isNotNull()).alias("leaks"))
+    both = _beside(a, b, runs)
     any_ = lambda *c: F.max(reduce(lambda x, y: x + y, [F.when(i, 0).otherwise(1) for i in c]))
     first = checks_from(both, "extraction", [
         ("tier_row_counts", "BLOCKING", any_(*[F.col(f"rows_{t}") == F.col(f"s_rows_{t}") for t, _ in tiers]), "rows of both tiers are those of the source"),
         ("active_training_counts", "BLOCKING", any_(*[F.col(f"active_{t}") == F.col(f"s_active_{t}") for t, _ in tiers]), "and so are the responses trained on"),
         ("holdout_rows", "BLOCKING", F.max("leaks"), "no test point was trained on"),
-    ])
+    ], runs)
     second = checks_from(rows, "extraction", [
         ("likelihood_link_counts", "BLOCKING", failing(F.col("link") == F.col("family_index")), "a row's link is its likelihood's"),
         ("named_tier_indices", "BLOCKING", failing(reduce(lambda x, y: x | y, [(F.col("tier") == t) & (F.col("link") == k) for t, k in tiers])), "tiers have their links"),
         ("observed_fitted_values_finite", "BLOCKING", failing(finite("fitted_mean")), "fitted means are finite"),
         ("tier1_fitted_probability_range", "BLOCKING", by((F.col("link") == 1) & ~F.coalesce(F.col("fitted_mean").between(0, 1), F.lit(False))), "presence is a probability"),
         ("tier2_fitted_positive", "BLOCKING", by((F.col("link") == 2) & ~F.coalesce(F.col("fitted_mean") > 0, F.lit(False))), "intensity is positive"),
-    ])
+    ], runs)
     third = [(f"{k}_count", "BLOCKING", differs(F.max(F.when(F.col("name") == k, F.col("n"))), F.lit(v)), f"{v} of {k}") for k, v in (expected or EXPECTED).items()]
-    return union(first, second, checks_from(counts, "extraction", third))
+    return union(first, second, checks_from(counts, "extraction", third, runs))
 
 
 def temporal_support(effects: DataFrame, weeks: DataFrame, components: tuple[str, ...] = ("week_steps", "tier2_week")) -> DataFrame:
@@ -130,27 +135,27 @@ def temporal_support(effects: DataFrame, weeks: DataFrame, components: tuple[str
     return checks_from(levels, "extraction", rules)
 
 
-def validation_audit(holdout: DataFrame, source: DataFrame, metrics: DataFrame, background: DataFrame) -> DataFrame:
+def validation_audit(holdout: DataFrame, source: DataFrame, metrics: DataFrame, background: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Before metrics are believed. holdout: tier, is_test_point, response, family, percentile
     (tier 1); source: tier, is_test_point; metrics: metric, value; background: weight. The
     holdout is all test points, and nothing else; the background has positive weights."""
     tiers = ("tier1", "tier2")
-    a = holdout.agg(*[F.count(F.when(F.col("tier") == t, 1)).alias(t) for t in tiers])
-    b = source.where("is_test_point").agg(*[F.count(F.when(F.col("tier") == t, 1)).alias(f"s_{t}") for t in tiers])
-    first = checks_from(a.crossJoin(F.broadcast(b)), "validation", [("stage2_holdout_counts", "BLOCKING", F.max(F.when((F.col("tier1") == F.col("s_tier1")) & (F.col("tier2") == F.col("s_tier2")), 0).otherwise(1)), "as many rows as test points")])
+    a = holdout.groupBy(*(by or [])).agg(*[F.count(F.when(F.col("tier") == t, 1)).alias(t) for t in tiers])
+    b = source.where("is_test_point").groupBy(*(by or [])).agg(*[F.count(F.when(F.col("tier") == t, 1)).alias(f"s_{t}") for t in tiers])
+    first = checks_from(_beside(a, b, by), "validation", [("stage2_holdout_counts", "BLOCKING", F.max(F.when((F.col("tier1") == F.col("s_tier1")) & (F.col("tier2") == F.col("s_tier2")), 0).otherwise(1)), "as many rows as test points")], by)
     family = F.when(F.col("tier") == "tier1", FAMILIES[0]).otherwise(FAMILIES[1])
     second = checks_from(holdout, "validation", [
         ("holdout_rows_are_test_points", "BLOCKING", failing(F.col("is_test_point")), "only test points"),
         ("holdout_response_finite", "BLOCKING", failing(finite("response")), "observed responses are finite"),
         ("family_labels", "BLOCKING", failing(F.col("family") == family), "families are the tiers' own"),
         ("same_week_percentile_coverage", "BLOCKING", F.count(F.when((F.col("tier") == "tier1") & ~finite("percentile"), 1)), "each presence has a percentile in its week"),
-    ])
+    ], by)
     third = checks_from(background, "validation", [
         ("background_terrestrial_support", "BLOCKING", F.when(F.count(F.lit(1)) > 0, 0).otherwise(1), "there is a background"),
         ("background_weighting", "BLOCKING", failing(finite("weight") & (F.col("weight") > 0)), "its weights are positive"),
-    ])
+    ], by)
     names = (("PB_AUC_area_weighted", "WARNING"), ("PB_AUC_unweighted", "WARNING"), ("continuous_boyce_area_weighted", "WARNING"), ("continuous_boyce_unweighted", "WARNING"), ("mae", "WARNING"), ("rmse", "WARNING"), ("pearson", "WARNING"), ("spearman", "WARNING"))
-    fourth = checks_from(metrics, "validation", [(m, severity, F.when(F.count(F.when((F.col("metric") == m) & finite("value"), 1)) > 0, 0).otherwise(1), f"{m} is finite") for m, severity in names])
+    fourth = checks_from(metrics, "validation", [(m, severity, F.when(F.count(F.when((F.col("metric") == m) & finite("value"), 1)) > 0, 0).otherwise(1), f"{m} is finite") for m, severity in names], by)
     return union(first, second, third, fourth)
 
 

@@ -15,14 +15,16 @@ def check_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, CHECK)
 
 
-def checks_from(df: DataFrame, gate: str, rules: list[tuple[str, str, Column, str]]) -> DataFrame:
+def checks_from(df: DataFrame, gate: str, rules: list[tuple[str, str, Column, str]], by: list[str] | None = None) -> DataFrame:
     """One check a rule (name, severity, aggregate that is 0 when all is well, message), all
-    from one pass over df."""
-    one = df.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, _, c, _ in rules])
+    from one pass over df. by: the same for each of many runs; their columns come first, and
+    a run without a row in df has no checks of it."""
+    by = by or []
+    one = df.groupBy(*by).agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, _, c, _ in rules])
     meta = F.create_map(*[x for n, s, _, m in rules for x in (F.lit(n), F.struct(F.lit(s).alias("severity"), F.lit(m).alias("message")))])
-    long = one.unpivot([], [n for n, *_ in rules], "check", "n").withColumn("m", meta[F.col("check")])
+    long = one.unpivot(by, [n for n, *_ in rules], "check", "n").withColumn("m", meta[F.col("check")])
     status = F.when(F.col("n") == 0, "PASS").when(F.col("m.severity") == "WARNING", "WARN").otherwise("FAIL")
-    return long.select(F.lit(gate).alias("gate"), "check", F.col("m.severity").alias("severity"), status.alias("status"), F.col("m.message").alias("message"), F.lit("0").alias("expected"), F.col("n").cast("string").alias("observed"))
+    return long.select(*by, F.lit(gate).alias("gate"), "check", F.col("m.severity").alias("severity"), status.alias("status"), F.col("m.message").alias("message"), F.lit("0").alias("expected"), F.col("n").cast("string").alias("observed"))
 
 
 def outcome(checks: DataFrame, by: list[str] | None = None) -> DataFrame:

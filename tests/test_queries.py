@@ -9,6 +9,7 @@ import pytest
 import epigrid.plans.gate_queries  # noqa: F401
 import epigrid.plans.io_queries  # noqa: F401
 import epigrid.plans.more_queries  # noqa: F401
+import epigrid.plans.run_queries  # noqa: F401
 import epigrid.plans.spatial_queries  # noqa: F401
 from epigrid.plans.queries import ORACLES, QUERIES
 
