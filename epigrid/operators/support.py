@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.places import Grid
+from ..sources.tables import kept
 from . import clipping, geometry, grid
 
 #: The rules and the kinds of representative place.
@@ -58,14 +59,15 @@ def classify(cells: DataFrame, nodes: DataFrame, domain: DataFrame, size: float
     """(classes, overlay). classes: variant, poly_id, node_x, node_y, full_area, clipped_area,
     clipped_full_ratio, cx, cy (centroid of the clipped part), node_inside_domain,
     polygon_intersects_domain, category. cells: edge table with variant and poly_id; nodes:
-    variant, poly_id, x, y; domain: edge table of polygons that do not overlap."""
-    over = clipping.overlay(_keyed(cells), domain, size, "key")
+    variant, poly_id, x, y; domain: edge table of polygons that do not overlap. Both results are
+    written once, to the shared folder."""
+    over = kept(clipping.overlay(_keyed(cells), domain, size, "key"), "overlay")
     report = clipping.clip_from(over, _keyed(cells), "key").select("key.*", "full_area", "clipped_area", "clipped_ratio", "intersects", "cx", "cy")
     inside = _on_land(nodes, domain, KEY).withColumn("in_", F.lit(True))
     placed = nodes.select(*KEY, F.col("x").alias("node_x"), F.col("y").alias("node_y")).join(inside, KEY, "left").join(report, KEY, "left")
     a, b = F.coalesce("in_", F.lit(False)), F.coalesce("intersects", F.lit(False))
     classes = placed.select(*KEY, "node_x", "node_y", "full_area", "clipped_area", F.col("clipped_ratio").alias("clipped_full_ratio"), "cx", "cy", a.alias("node_inside_domain"), b.alias("polygon_intersects_domain"), category(a, b).alias("category"))
-    return classes, over
+    return kept(classes, "classes"), over
 
 
 def by_rule(classes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gate_rules, gates
+from ..operators import gate_rules, gates, preflight
 from .queries import query, table
 
 SECTIONS = ["fixed", "hyper", *gate_rules.COMPONENTS]
@@ -106,3 +106,28 @@ def validation_runs(spark, sf_dir):
     name = F.get(F.array(*[F.lit(m) for m in METRICS]), F.expr("cast(s_suppkey div 10 % 8 as int)"))
     scores = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("run"), name.alias("metric"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal").cast("double")).otherwise(float("nan")).alias("value"))
     return _shown(gate_rules.validation_audit(holdout, f, scores, f.select("run", (F.col("tax") + F.when(F.col("run") < 5, 1).otherwise(0)).alias("weight")), by=["run"]))
+
+
+@query(f"WITH h AS ({FIT_SQL}) SELECT DISTINCT 'fit_health' AS gate, \"check\", severity FROM h")
+def check_inventory(spark, sf_dir):
+    """The checks that a gate defines, from its own rows over 25 fits."""
+    return gates.inventory(_fits(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT c_custkey AS position, c_mktsegment AS a, CASE WHEN c_custkey % 13 <> 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 17 <> 0), o AS (SELECT c_custkey AS position, CASE WHEN c_custkey % 29 = 0 THEN 'OTHER' ELSE c_mktsegment END AS b FROM customer WHERE c_custkey % 19 <> 0),
+x AS (SELECT count(*) FILTER (t.position IS NULL OR o.position IS NULL) + count(*) FILTER (t.position IS NOT NULL AND v IS NULL) AS shape, count(*) FILTER (t.position IS NOT NULL AND a IS DISTINCT FROM b) AS names FROM t FULL JOIN o ON t.position = o.position)
+SELECT 'theta_shape' AS "check", 'WARNING' AS severity, CASE WHEN shape = 0 THEN 'PASS' ELSE 'WARN' END AS status, shape::VARCHAR AS observed FROM x UNION ALL SELECT 'theta_order_provenance', 'WARNING', CASE WHEN names = 0 THEN 'PASS' ELSE 'WARN' END, names::VARCHAR FROM x""")
+def preflight_theta(spark, sf_dir):
+    """Values of an earlier fit against the order of the model at hand: some lack, some have other names."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    theta = c.where(k % 17 != 0).select(k.alias("position"), F.col("c_mktsegment").alias("name"), F.when(k % 13 != 0, F.col("c_acctbal").cast("double")).alias("value"))
+    order = c.where(k % 19 != 0).select(k.alias("position"), F.when(k % 29 == 0, "OTHER").otherwise(F.col("c_mktsegment")).alias("name"))
+    return preflight.theta_checks(theta, order).select("check", "severity", "status", "observed")
+
+
+@query("""SELECT 'prediction_variables_audited' AS "check", 'BLOCKING' AS severity, CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END AS status, (count(*) = 0)::INTEGER::VARCHAR AS observed FROM part UNION ALL
+SELECT 'prediction_required_variables_finite', 'BLOCKING', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*)::VARCHAR FROM (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) FILTER (p_retailprice < 905) > 0)""")
+def preflight_prediction(spark, sf_dir):
+    """Brands as variables, low prices as values that are not finite."""
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("variable")).agg(F.count(F.when(F.col("p_retailprice") < 905, 1)).alias("nonfinite"))
+    return preflight.prediction_checks(p).select("check", "severity", "status", "observed")

@@ -28,6 +28,14 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to a scratch folder and read again: what several queries read is made once, and a
+    lost executor costs no more than that."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV with a header; without a schema one is inferred. NaN becomes null."""
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
@@ -81,7 +89,8 @@ def write_weekly(df: DataFrame, path: str, order: list[str] | None = None) -> Da
     """One partition a week; returns the manifest (epiyear, epiweek, files, rows, sha256). The
     hash is that of the week's rows: of the sorted hashes of ranges of at most some thousand
     rows' JSON, so it does not depend on files or partitions."""
-    df.repartition("epiyear", "epiweek").write.mode("errorifexists").partitionBy("epiyear", "epiweek").parquet(path)
+    # Weeks of many rows are split over tasks, small ones put together.
+    df.hint("rebalance", "epiyear", "epiweek").write.mode("errorifexists").partitionBy("epiyear", "epiweek").parquet(path)
     back = df.sparkSession.read.parquet(path)
     columns = sorted(c for c in back.columns)
     rows = back.select("epiyear", "epiweek", F.col("_metadata.file_path").alias("_file"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("_h"))
