@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sharding import FIRST, LOW, ROUNDS, SECOND, round_keys
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -143,6 +145,24 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(_docs(spark, sf_dir), shards=40)
 
 
+#: CRC-32 byte by byte, the rounds and the walk by recursion.
+OP12_SQL = f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes FROM documents),
+s AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM d, tab),
+n AS (SELECT count(*) AS n, greatest(2, len(ltrim(bin(count(*) - 1), '0'))) AS bits FROM s),
+w AS (SELECT n, (bits // 2)::INTEGER AS narrow, (bits - bits // 2)::INTEGER AS wide FROM n),
+r AS (SELECT doc_id, size, crc, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, crc) - 1 AS number FROM s),
+f AS (
+  SELECT number, number >> wide AS l, number & ((1::BIGINT << wide) - 1) AS h, narrow AS a, wide AS b, 0 AS i FROM r, w
+  UNION ALL
+  SELECT number, CASE WHEN i < {ROUNDS} THEN h ELSE l END, CASE WHEN i < {ROUNDS} THEN xor(l, xor(m, m >> 31) & {LOW}) & ((1::BIGINT << a) - 1) ELSE h END, CASE WHEN i < {ROUNDS} THEN b ELSE narrow END, CASE WHEN i < {ROUNDS} THEN a ELSE wide END, CASE WHEN i < {ROUNDS} THEN i + 1 ELSE 0 END
+  FROM (SELECT *, (xor(q, q >> 29) & {LOW}) * {SECOND} AS m FROM (SELECT *, xor(h, {round_keys(0)}[i + 1]) * {FIRST} AS q FROM f)), w WHERE i < {ROUNDS} OR ((l << wide) | h) >= n),
+p AS (SELECT number, (l << wide) | h AS place FROM f, w WHERE i = {ROUNDS} AND ((l << wide) | h) < n)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (place % 40)::INTEGER AS shard, place // 40 AS slot, NULL::INTEGER AS grown_shard FROM r JOIN p USING (number)
+"""
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hard_negatives import hard_negatives
 
@@ -169,4 +189,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": OP4_SQL, "op5_search": OP5_SQL, "op11_ranked": OP11_SQL, "op13_negatives": OP13_SQL}
+    return {"op4_lines": OP4_SQL, "op5_search": OP5_SQL, "op11_ranked": OP11_SQL, "op12_shards": OP12_SQL, "op13_negatives": OP13_SQL}
