@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import nulls, places, timeidx
-from ..operators import geometry, grid, mesh, persistence, quadtree, sets, support
+from ..operators import clipping, geometry, grid, mesh, persistence, quadtree, sets, support
 from ..sources import files, tables
 from . import config
 from .queries import CELL, EVENTS, GRID, ORACLES, query, rounded, table, weekly_events
@@ -252,6 +252,29 @@ def mesh_dual_areas(spark, sf_dir):
     return rounded(mesh.dual_areas(nodes, triangles).join(own.join(outer, "node", "left_anti"), "node", "left"), "area", "cell_area")
 
 
+@query(f"WITH {MESH}, ar AS (SELECT unnest([n1, n2, n3]) AS node FROM tr) SELECT node, 2 * count(*)::INTEGER AS corners FROM ar WHERE node NOT IN (SELECT a FROM bd UNION SELECT b FROM bd) GROUP BY node")
+def mesh_dual_cells(spark, sf_dir):
+    """Cells around inner nodes have two corners a triangle: its centroid and the middle of a side."""
+    nodes, triangles = _part_mesh(spark, sf_dir)
+    edge = mesh.boundary(triangles)
+    outer = edge.select(F.col("a").alias("node")).union(edge.select("b")).distinct()
+    return mesh.dual_cells(nodes, triangles).join(outer, "node", "left_anti").select("node", (F.size(F.split("wkt", ",")) - 1).alias("corners"))
+
+
+@query("SELECT n_nationkey AS poly_id, round((7 + n_nationkey / 10) * 8 - 5.625, 6) AS area FROM nation")
+def polygon_areas(spark, sf_dir):
+    """Rectangles with holes, which turn the other way."""
+    k = F.col("n_nationkey")
+    at = lambda x, y: F.struct((F.lit(0.0) + x).alias("x"), (F.lit(0.0) + y).alias("y"))
+    wide = F.lit(7) + k / 10
+    rings = F.array(F.array(at(0, 0), at(wide, 0), at(wide, 8), at(0, 8)), F.array(at(1, 1), at(1, 3.25), at(3.5, 3.25), at(3.5, 1)))
+    edges = clipping.ring_edges(table(spark, sf_dir, "nation").select(k.alias("poly_id"), F.posexplode(rings).alias("ring", "corners")), ["poly_id"])
+    return rounded(geometry.polygon_areas(edges), "area")
+
+
+ORACLES["unit_assignment"] = f"""WITH {EVENTS}, u AS (SELECT DISTINCT user_id, x, y FROM e), h AS ({ORACLES["points_in_polygons"]})
+SELECT u.user_id, coalesce(min(CASE poly_id WHEN 1 THEN 'b' WHEN 2 THEN 'a' END), 'Unk') AS admin_u FROM u LEFT JOIN h USING (user_id) GROUP BY u.user_id"""
+
 WALK = """f AS (SELECT n_nationkey AS k, i AS t, CASE WHEN (n_nationkey * 31 + i * 17) % 11 <> 0 THEN ((n_nationkey + 1) * i * 7 % 23)::DOUBLE END AS v FROM nation, range(30) r(i)),
 g AS (SELECT k, t, v, CASE WHEN v IS NULL THEN 0 ELSE 1 END + 10.0 * (CASE t WHEN 0 THEN 1 WHEN 29 THEN 1 ELSE 2 END) + 1e-9 AS d, coalesce(v, 0) AS r FROM f)"""
 

@@ -15,7 +15,6 @@ from .. import importable
 from ..functions import numbers, places, text, timeidx
 from ..operators import cleaning, gates, geometry, grid, hosts, mesh, metrics, persistence, predictor, reporting, responses, sets, tiers
 from ..sources import files
-from . import surveillance
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -652,24 +651,12 @@ def points_in_polygons(spark, sf_dir):
     return geometry.point_polygons(u, _edges(spark), ["user_id"])
 
 
-@query("SELECT * FROM (VALUES (1, 15.0::DOUBLE), (2, 30.0::DOUBLE), (3, 54.0::DOUBLE)) v(poly_id, area)")
-def polygon_areas(spark, sf_dir):
-    return rounded(geometry.polygon_areas(_edges(spark)), "area")
-
-
 @query()
 def unit_assignment(spark, sf_dir):
     u = weekly_events(spark, sf_dir).select("user_id", "x", "y").distinct()
     return geometry.assign_unit(u, _edges(spark), spark.createDataFrame([(1, "b"), (2, "a"), (3, " ")], "poly_id int, unit string"), ["user_id"]).select("user_id", "admin_u")
 
 
-@query()
-def mesh_dual_cells(spark, sf_dir):
-    importable(spark)
-    nodes, triangles = mesh.structured_mesh(spark, 6, 5)
-    return mesh.dual_cells(nodes, triangles).join(rounded(mesh.dual_areas(nodes, triangles), "area"), "node")
-
-
 @query(f"WITH {EVENTS}, u AS (SELECT DISTINCT user_id, x, y FROM e) SELECT user_id AS \"row\", round(3 * x - 2 * y, 6) AS value FROM u")
 def mesh_projection(spark, sf_dir):
     """A linear field is projected without error, whatever the triangles."""
@@ -764,24 +751,5 @@ def variant_counts(spark, sf_dir):
     return rounded(reporting.variant_counts({"orders": o}, {"urgent": F.col("o_orderpriority") == "1-URGENT", "large": F.col("o_totalprice") > 200000}), "share")
 
 
-def _demo(spark):
-    cfg = {"study": {"start": "2024-01-01", "end": "2024-06-30"}, "bins": 5}
-    inputs = surveillance.demo_inputs(spark, surveillance.configured(cfg))
-    return cfg, inputs, surveillance.prepare(inputs, cfg)
-
-
-@query()
-def demo_exclusion_audit(spark, sf_dir):
-    return _demo(spark)[2]["exclusion_audit"]
-
-
-@query()
-def demo_class_areas(spark, sf_dir):
-    """A whole run on synthetic inputs: records, tables, predictions, mask, runs, areas."""
-    cfg, inputs, tables = _demo(spark)
-    effects = inputs["weeks"].select(F.col("time_index").alias("index"), (F.col("time_index") / 50.0).alias("mean"))
-    return surveillance.postfit(inputs, tables, {"intercept1": -1.0, "intercept2": 0.5, "mintemp": 0.3}, effects, cfg)["areas"]
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpi_class_area(spark, sf_dir)
