@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import TOLERANCE, boxes, polygon_areas
+from .sets import by_key
 
 #: Where the grid begins, in tiles: off the round numbers that corners tend to have.
 SHIFT = (-0.6180339887498949, -0.41421356237309515)
@@ -117,20 +118,25 @@ def tiles(edge: DataFrame, size: float, poly_id: str = "poly_id", columns: tuple
 
 
 def _meeting(a: Column, b: Column) -> Column:
-    """x where two pieces meet, if they are not parallel."""
+    """x where two pieces meet, if they are not parallel. Most pairs are apart, which comparisons show."""
     dx, dy, ex, ey = a.x2 - a.x1, a.y2 - a.y1, b.x2 - b.x1, b.y2 - b.y1
     turn = dx * ey - dy * ex
     t = ((b.x1 - a.x1) * ey - (b.y1 - a.y1) * ex) / turn
     u = ((b.x1 - a.x1) * dy - (b.y1 - a.y1) * dx) / turn
-    return F.when(turn != 0, F.when(t.between(0, 1) & u.between(0, 1), a.x1 + t * dx))
+    return F.when(_near(a, b), F.when(turn != 0, F.when(t.between(0, 1) & u.between(0, 1), a.x1 + t * dx)))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether the boxes of two pieces meet."""
+    upright = (F.greatest(F.least(a.y1, a.y2), F.least(b.y1, b.y2)) <= F.least(F.greatest(a.y1, a.y2), F.greatest(b.y1, b.y2)) + TOLERANCE)
+    return (a.x1 <= b.x2 + TOLERANCE) & (b.x1 <= a.x2 + TOLERANCE) & upright
 
 
 def _touching(a: Column, b: Column) -> Column:
     """Whether two pieces have a point in common, parallel ones included."""
     dx, dy = a.x2 - a.x1, a.y2 - a.y1
     off = lambda x, y: F.abs(dx * (y - a.y1) - dy * (x - a.x1)) <= TOLERANCE
-    over = (F.greatest(a.x1, b.x1) <= F.least(a.x2, b.x2) + TOLERANCE) & (F.greatest(F.least(a.y1, a.y2), F.least(b.y1, b.y2)) <= F.least(F.greatest(a.y1, a.y2), F.greatest(b.y1, b.y2)) + TOLERANCE)
-    return over & (_meeting(a, b).isNotNull() | (off(b.x1, b.y1) & off(b.x2, b.y2)))
+    return _near(a, b) & (_meeting(a, b).isNotNull() | (off(b.x1, b.y1) & off(b.x2, b.y2)))
 
 
 def overlay(a: DataFrame, b: DataFrame, size: float | None = None, a_id: str = "poly_id", b_id: str = "poly_id") -> DataFrame:
@@ -209,7 +215,7 @@ def clip_from(over: DataFrame, cells: DataFrame, poly_id: str = "poly_id") -> Da
     parts = shared(over).groupBy(F.col("a").alias(poly_id)).agg(
         F.sum("area").alias("clipped_area"), F.bool_or("intersects").alias("intersects"), F.sum(F.col("cx") * F.col("area")).alias("_mx"), F.sum(F.col("cy") * F.col("area")).alias("_my")
     )
-    out = polygon_areas(cells, poly_id).withColumnRenamed("area", "full_area").join(parts, poly_id, "left")
+    out = polygon_areas(cells, poly_id).withColumnRenamed("area", "full_area").join(by_key(parts), poly_id, "left")
     some = F.coalesce(F.col("clipped_area"), F.lit(0.0))
     return out.select(poly_id, "full_area", some.alias("clipped_area"), F.when(F.col("full_area") > 0, some / F.col("full_area")).alias("clipped_ratio"), F.coalesce("intersects", F.lit(False)).alias("intersects"), F.when(some > 0, F.col("_mx") / some).alias("cx"), F.when(some > 0, F.col("_my") / some).alias("cy"))
 
@@ -228,7 +234,7 @@ def surface_points(over: DataFrame) -> DataFrame:
     widest = parts.groupBy("a", "b").agg(F.max(F.struct((F.col("s.x2") - F.col("s.x1")).alias("w"), (-F.col("s.x1")).alias("neg"))).alias("best")).select("a", "b", ((-F.col("best.neg")) + F.col("best.w") / 2).alias("x"))
     s = F.col("s")
     at = lambda p, q: s[p] + (F.col("x") - s.x1) * (s[q] - s[p]) / (s.x2 - s.x1)
-    cut = parts.join(widest, ["a", "b"]).where((s.x1 <= F.col("x")) & (F.col("x") <= s.x2)).select("a", "b", "x", at("lo1", "lo2").alias("lo"), at("hi1", "hi2").alias("hi"))
+    cut = parts.join(by_key(widest), ["a", "b"]).where((s.x1 <= F.col("x")) & (F.col("x") <= s.x2)).select("a", "b", "x", at("lo1", "lo2").alias("lo"), at("hi1", "hi2").alias("hi"))
     # Stretches that meet at a tile's side are one.
     up = Window.partitionBy("a", "b").orderBy("lo", "hi")
     apart = F.coalesce(F.col("lo") > F.lag("hi").over(up) + TOLERANCE, F.lit(True))

@@ -88,6 +88,23 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """df, marked to be joined by sorting: Spark judges its size by packed bytes, and a few megabytes of
+    running numbers and repeated texts are millions of rows, which would pass through the driver."""
+    return df.hint("merge")
+
+
+#: Rows of a task where a row costs more time or memory than its bytes show.
+DEALT = 50_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = DEALT) -> DataFrame:
+    """df over so many tasks that each has about ``rows`` rows, and no fewer than run at once: a small file
+    of many rows is read by one task, and Spark puts tasks together by bytes."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, *keys)
+
+
 def crossing(*tables: DataFrame) -> DataFrame:
     """Every combination of the distinct rows; all but the first table are meant to be small
     (weeks, variants), and broadcast when they are."""

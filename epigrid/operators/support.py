@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.places import Grid
 from ..sources.tables import kept
 from . import clipping, geometry, grid
+from .sets import by_key
 
 #: The rules and the kinds of representative place.
 RULES = ["legacy_intersection", "refactor_node_inside_intersection"]
@@ -41,7 +42,7 @@ def ring_centroids(edge: DataFrame, keys: list[str]) -> DataFrame:
 
 def in_own_polygon(points: DataFrame, edge: DataFrame, keys: list[str], own: list[str]) -> DataFrame:
     """(keys) of the points that the polygon of their ``own`` columns covers."""
-    pairs = points.select(*keys, F.col("x").alias("px"), F.col("y").alias("py")).join(edge, own)
+    pairs = points.select(*keys, F.col("x").alias("px"), F.col("y").alias("py")).join(by_key(edge), own)
     px, py = F.col("px"), F.col("py")
     over = (F.col("y1") > py) != (F.col("y2") > py)
     left = F.when(over, px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).otherwise(F.lit(False))
@@ -64,7 +65,7 @@ def classify(cells: DataFrame, nodes: DataFrame, domain: DataFrame, size: float
     over = kept(clipping.overlay(_keyed(cells), domain, size, "key"), "overlay")
     report = clipping.clip_from(over, _keyed(cells), "key").select("key.*", "full_area", "clipped_area", "clipped_ratio", "intersects", "cx", "cy")
     inside = _on_land(nodes, domain, KEY).withColumn("in_", F.lit(True))
-    placed = nodes.select(*KEY, F.col("x").alias("node_x"), F.col("y").alias("node_y")).join(inside, KEY, "left").join(report, KEY, "left")
+    placed = nodes.select(*KEY, F.col("x").alias("node_x"), F.col("y").alias("node_y")).join(by_key(inside), KEY, "left").join(by_key(report), KEY, "left")
     a, b = F.coalesce("in_", F.lit(False)), F.coalesce("intersects", F.lit(False))
     classes = placed.select(*KEY, "node_x", "node_y", "full_area", "clipped_area", F.col("clipped_ratio").alias("clipped_full_ratio"), "cx", "cy", a.alias("node_inside_domain"), b.alias("polygon_intersects_domain"), category(a, b).alias("category"))
     return kept(classes, "classes"), over
@@ -102,13 +103,13 @@ def representatives(classes: DataFrame, over: DataFrame, cells: DataFrame, domai
     land = classes.where("clipped_area > 0")
     point = lambda df, m, x="x", y="y": df.select(*KEY, F.lit(m).alias("method"), F.col(x).alias("x"), F.col(y).alias("y"))
     largest = clipping.shared(over).groupBy("a").agg(F.max_by("b", F.struct("area", "b")).alias("b"))
-    surface = clipping.surface_points(over).join(largest, ["a", "b"]).select("a.*", "x", "y")
+    surface = clipping.surface_points(over).join(by_key(largest), ["a", "b"]).select("a.*", "x", "y")
     sets = [point(ring_centroids(cells, KEY), METHODS[0]), point(land, METHODS[1], "cx", "cy"), point(surface, METHODS[2]), point(land, METHODS[3], "node_x", "node_y")]
-    places = reduce(lambda p, q: p.unionByName(q), sets).join(land.select(*KEY), KEY, "left_semi")
+    places = reduce(lambda p, q: p.unionByName(q), sets).join(by_key(land.select(*KEY)), KEY, "left_semi")
     keys = [*KEY, "method"]
     own = in_own_polygon(places, cells, keys, KEY).withColumn("own", F.lit(True))
     inside = _on_land(places, domain, keys).withColumn("dom", F.lit(True))
-    out = places.join(own, keys, "left").join(inside, keys, "left")
+    out = places.join(by_key(own), keys, "left").join(by_key(inside), keys, "left")
     if template:
         values, cells_of = template
         out = grid.bilinear(out, values, cells_of, keys, out="seen")
@@ -117,7 +118,7 @@ def representatives(classes: DataFrame, over: DataFrame, cells: DataFrame, domai
     full, dom = F.coalesce("own", F.lit(False)), F.coalesce("dom", F.lit(False))
     rules = by_rule(classes).select(*KEY, "rule")
     valid = F.col("seen").isNotNull() if template else F.lit(None).cast("boolean")
-    return out.join(rules, KEY).select("variant", "rule", "method", "poly_id", "x", "y", full.alias("inside_own_full_polygon"), (full & dom).alias("inside_own_clipped_polygon"), dom.alias("inside_domain"), valid.alias("valid_template_support"))
+    return out.join(by_key(rules), KEY).select("variant", "rule", "method", "poly_id", "x", "y", full.alias("inside_own_full_polygon"), (full & dom).alias("inside_own_clipped_polygon"), dom.alias("inside_domain"), valid.alias("valid_template_support"))
 
 
 def weekly_gaps(places: DataFrame, values: DataFrame, cells_of: Grid, radius: float, keys: list[str], **distance) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clipping, preflight, support
+from ..operators import clipping, preflight, sets, support
 from ..sources import rasters, tables
 from .queries import CELL, EVENTS, GRID, query, rounded, table, weekly_events
 
@@ -21,7 +21,7 @@ def _ring(x, y, *corners):
 
 def _corner(spark, sf_dir):
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("poly_id"), ((k * 37 % 500) / 10 + 0.013).alias("x"), ((k * 91 % 500) / 10 + 0.017).alias("y"))
+    return sets.dealt(table(spark, sf_dir, "customer"), "c_custkey").select(k.alias("poly_id"), ((k * 37 % 500) / 10 + 0.013).alias("x"), ((k * 91 % 500) / 10 + 0.017).alias("y"))
 
 
 def _domain(spark, sf_dir):
