@@ -31,6 +31,13 @@ def test_places_broadcast_no_cells(spark):
     assert "SortMergeJoin" in _plan(places)
 
 
+def test_an_overlay_is_dealt_to_all_cores(spark):
+    """Few bytes, much work: tasks are not put together."""
+    cells, _ = _squares(spark, 20)
+    over = clipping.overlay(cells.withColumn("key", F.struct("variant", "poly_id")), frame(spark, {0: [square(0, 0, 4.5, 4)]}), a_id="key")
+    assert over.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_dealt_has_no_task_of_all_rows(spark):
     df = sets.dealt(spark.range(0, 1000, 1, 1), "id", rows=50)
     assert df.rdd.getNumPartitions() == 20
