@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sets import by_key, dealt
+
 
 def structured_mesh(spark: SparkSession, columns: int, rows: int, step: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(nodes, triangles) of a rectangle cut into squares and each square in two."""
@@ -33,9 +35,9 @@ def boundary(triangles: DataFrame) -> DataFrame:
 
 
 def _corners(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
-    out = triangles
+    out, n = triangles, triangles.count()
     for k in (1, 2, 3):
-        out = out.join(nodes.select(F.col("node").alias(f"n{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")), f"n{k}")
+        out = dealt(out, f"n{k}", count=n).join(by_key(nodes.select(F.col("node").alias(f"n{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))), f"n{k}")
     return out
 
 
@@ -55,13 +57,13 @@ def dual_cells(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     cx, cy = (F.col("x1") + F.col("x2") + F.col("x3")) / 3, (F.col("y1") + F.col("y2") + F.col("y3")) / 3
     point = lambda x, y: F.struct(x.alias("px"), y.alias("py"))
     middle = lambda p, q: point((F.col(f"x{p}") + F.col(f"x{q}")) / 2, (F.col(f"y{p}") + F.col(f"y{q}")) / 2)
-    per = lambda k, a, b: F.struct(F.col(f"n{k}").alias("node"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.array(point(cx, cy), middle(k, a), middle(k, b)).alias("points"))
-    points = t.select(F.explode(F.array(per(1, 2, 3), per(2, 1, 3), per(3, 1, 2))).alias("c")).select("c.node", "c.x", "c.y", F.explode("c.points").alias("p")).select("node", "x", "y", "p.px", "p.py").distinct()
-    edge = boundary(triangles)
-    outer = edge.select(F.col("a").alias("node")).unionByName(edge.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", "x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
-
+    per = lambda k, a, b: F.struct(F.col(f"n{k}").alias("node"), point(F.col(f"x{k}"), F.col(f"y{k}")).alias("at"), F.array(point(cx, cy), middle(k, a), middle(k, b)).alias("points"), F.array(f"n{a}", f"n{b}").alias("others"))
+    each = t.select(F.explode(F.array(per(1, 2, 3), per(2, 1, 3), per(3, 1, 2))).alias("c")).select("c.*")
+    # All of a node at once: what its triangles share is there as often as they have it, and a neighbour that only one of them has is across the boundary.
+    around = dealt(each, "node", count=3 * triangles.count()).groupBy("node").agg(F.first("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("points"))).alias("ps"), F.flatten(F.collect_list("others")).alias("others"))
+    outer = F.exists("others", lambda o: F.size(F.filter("others", lambda q: q == o)) == 1)
     mean = lambda c: F.aggregate("ps", F.lit(0.0), lambda a, p: a + p[c]) / F.size("ps")
-    ring = points.unionByName(outer).groupBy("node").agg(F.collect_list(F.struct("px", "py")).alias("ps")).withColumns({"mx": mean("px"), "my": mean("py")})
+    ring = around.withColumn("ps", F.when(outer, F.concat("ps", F.array("at"))).otherwise(F.col("ps"))).withColumns({"mx": mean("px"), "my": mean("py")})
     turned = F.array_sort(F.transform("ps", lambda p: F.struct(F.atan2(p["py"] - F.col("my"), p["px"] - F.col("mx")).alias("at"), p["px"].alias("px"), p["py"].alias("py"))))
     texts = F.transform(turned, lambda p: F.concat_ws(" ", p["px"].cast("string"), p["py"].cast("string")))
     return ring.withColumn("t", texts).select("node", F.concat(F.lit("POLYGON(("), F.array_join("t", ", "), F.lit(", "), F.element_at("t", 1), F.lit("))")).alias("wkt"))

@@ -98,11 +98,13 @@ def by_key(df: DataFrame) -> DataFrame:
 DEALT = 50_000
 
 
-def dealt(df: DataFrame, *keys: str, rows: int = DEALT) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, rows: int = DEALT, count: int | None = None) -> DataFrame:
     """df over so many tasks that each has about ``rows`` rows, and no fewer than run at once: a small file
-    of many rows is read by one task, and Spark puts tasks together by bytes."""
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
-    return df.repartition(tasks, *keys)
+    of many rows is read by one task, and Spark puts tasks together by bytes. count: df's rows, where they are known."""
+    spark = df.sparkSession
+    most, need = spark.sparkContext.defaultParallelism, -(-(df.count() if count is None else count) // rows)
+    # With fewer tasks than its own number Spark would shuffle again for a join.
+    return df.repartition(max(need, int(spark.conf.get("spark.sql.shuffle.partitions"))) if need > most else most, *keys)
 
 
 def crossing(*tables: DataFrame) -> DataFrame:

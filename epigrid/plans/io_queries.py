@@ -221,9 +221,9 @@ def crowded_points(spark, sf_dir):
 def _part_mesh(spark, sf_dir):
     """Parts as nodes, 20 a row, off their places by a little; squares of four parts cut in two."""
     k = F.col("p_partkey")
-    nodes = table(spark, sf_dir, "part").select((k + 1).cast("long").alias("node"), (k % 20 + (k * 7 % 5) / 20).alias("x"), (F.floor(k / 20) + (k * 3 % 7) / 30).alias("y"))
+    nodes = sets.dealt(table(spark, sf_dir, "part"), "p_partkey").select((k + 1).cast("long").alias("node"), (k % 20 + (k * 7 % 5) / 20).alias("x"), (F.floor(k / 20) + (k * 3 % 7) / 30).alias("y"))
     here = nodes.select("node").where("(node - 1) % 20 < 19")
-    whole = here.join(nodes.select((F.col("node") - 21).alias("node")), "node")
+    whole = here.join(sets.by_key(nodes.select((F.col("node") - 21).alias("node"))), "node")
     two = F.array(F.struct(F.lit(0).alias("h"), F.col("node").alias("n1"), (F.col("node") + 1).alias("n2"), (F.col("node") + 21).alias("n3")), F.struct(F.lit(1).alias("h"), F.col("node").alias("n1"), (F.col("node") + 21).alias("n2"), (F.col("node") + 20).alias("n3")))
     triangles = whole.select("node", F.explode(two).alias("t")).select((F.col("node") * 2 + F.col("t.h")).alias("tri"), "t.n1", "t.n2", "t.n3")
     return nodes, triangles
@@ -249,7 +249,7 @@ def mesh_dual_areas(spark, sf_dir):
     own = geometry.polygon_areas(cells, "node").withColumnRenamed("area", "cell_area")
     edge = mesh.boundary(triangles)
     outer = edge.select(F.col("a").alias("node")).union(edge.select("b")).distinct()
-    return rounded(mesh.dual_areas(nodes, triangles).join(own.join(outer, "node", "left_anti"), "node", "left"), "area", "cell_area")
+    return rounded(mesh.dual_areas(nodes, triangles).join(sets.by_key(own.join(outer, "node", "left_anti")), "node", "left"), "area", "cell_area")
 
 
 @query(f"WITH {MESH}, ar AS (SELECT unnest([n1, n2, n3]) AS node FROM tr) SELECT node, 2 * count(*)::INTEGER AS corners FROM ar WHERE node NOT IN (SELECT a FROM bd UNION SELECT b FROM bd) GROUP BY node")

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 from test_clipping import frame, square
 
-from epigrid.operators import clipping, sets, support
+from epigrid.operators import clipping, mesh, metrics, predictor, sets, support
 
 
 def _plan(df):
@@ -42,3 +42,31 @@ def test_dealt_has_no_task_of_all_rows(spark):
     df = sets.dealt(spark.range(0, 1000, 1, 1), "id", rows=50)
     assert df.rdd.getNumPartitions() == 20
     assert max(df.rdd.glom().map(len).collect()) < 120 and df.count() == 1000
+
+
+def test_dual_cells_put_no_points_together_before_they_are_dealt(spark):
+    """A task that reads many nodes must not hold the distinct points of all of them."""
+    nodes, triangles = mesh.structured_mesh(spark, 4, 3)
+    cells = mesh.dual_cells(nodes, triangles)
+    keys = re.findall(r"HashAggregate\(keys=\[(.*?)\], functions", _plan(cells))
+    assert keys and not [k for k in keys if "px" in k]
+    assert not re.search(r"BroadcastHashJoin \[n\d", _plan(cells))
+    assert cells.count() == 20
+
+
+def test_layout_deals_rows_before_equal_ones_are_put_together(spark):
+    rows = spark.range(1, 101, 1, 1).toDF("stack_row")
+    out = predictor.predictor_layout(rows, spark.range(40), 60)
+    plan = _plan(out)
+    assert "partial_count(distinct stack_row" not in plan and "REPARTITION_BY_NUM" in plan
+    assert tuple(out.first()) == (40, 60, 100, True)
+    twice = rows.unionByName(rows.where("stack_row = 7")).where("stack_row <> 9")
+    assert tuple(predictor.predictor_layout(twice, spark.range(40), 60).first()) == (40, 60, 100, False)
+    assert tuple(predictor.predictor_layout(rows.limit(0), spark.range(0), 0).first())[:3] == (0, 0, 0)
+
+
+def test_quantiles_of_counted_values(spark):
+    df = spark.createDataFrame([(1.0, 3), (2.0, 1), (10.0, 4)], "v double, c int")
+    many = df.select(F.explode(F.array_repeat("v", F.col("c"))).alias("v"))
+    probs = {"a": 0.1, "b": 0.5, "c_": 0.6}
+    assert metrics.exact_quantiles(df, "v", probs, weight="c").collect() == metrics.exact_quantiles(many, "v", probs).collect()
