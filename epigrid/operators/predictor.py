@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
 from ..functions.numbers import inverse_logit
+from .sets import dealt
 
 
 def joint_stack(tier1: DataFrame, tier2: DataFrame, response1: str, response2: str, exposure: str, row_id: str = "row_id") -> DataFrame:
@@ -41,7 +42,9 @@ def predictor_layout(fitted: DataFrame, observed: DataFrame, n_latent: int) -> D
     """One row: rows of the observed block (the stack's), of the latent one behind it, of
     both, and whether the fitted table (stack_row from 1) has just those."""
     n = observed.agg(F.count(F.lit(1)).alias("n_observed"))
-    have = fitted.agg(F.count(F.lit(1)).alias("n_total"), F.count_distinct("stack_row").alias("_distinct"), F.min("stack_row").alias("_first"), F.max("stack_row").alias("_last"))
+    # Rows are dealt before equal ones are put together, so that no task holds more than its share of distinct ones.
+    places = dealt(fitted.select("stack_row"), "stack_row", rows=500_000, count=observed.count() + n_latent).groupBy("stack_row").agg(F.count(F.lit(1)).alias("_c"))
+    have = places.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_total"), F.count("stack_row").alias("_distinct"), F.min("stack_row").alias("_first"), F.max("stack_row").alias("_last"))
     out = n.crossJoin(F.broadcast(have)).withColumn("n_latent", F.lit(n_latent).cast("long"))
     whole = (F.col("n_total") == F.col("n_observed") + F.col("n_latent")) & (F.col("_distinct") == F.col("n_total")) & (F.col("_first") == 1) & (F.col("_last") == F.col("n_total"))
     return out.select("n_observed", "n_latent", "n_total", whole.alias("reconciled"))

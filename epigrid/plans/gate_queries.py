@@ -257,7 +257,8 @@ def predictor_layout(spark, sf_dir):
 def metrics_rows(df):
     """Rows numbered from 1 by order and line, by adding up the orders' lines before each."""
     per = metrics.cumulative_scores(df, "l_orderkey", {"n": F.lit(1)}).select(F.col("l_orderkey").alias("_k"), "n_before")
-    return df.join(per, df["l_orderkey"] == F.col("_k")).select((F.col("n_before") + F.row_number().over(cleaning.Window.partitionBy("l_orderkey").orderBy("l_linenumber"))).cast("long").alias("stack_row"))
+    df = sets.dealt(df.select("l_orderkey", "l_linenumber"), "l_orderkey", rows=500_000)
+    return df.join(sets.by_key(per), df["l_orderkey"] == F.col("_k")).select((F.col("n_before") + F.row_number().over(cleaning.Window.partitionBy("l_orderkey").orderBy("l_linenumber"))).cast("long").alias("stack_row"))
 
 
 @query("WITH n AS (SELECT count(*) // 3 AS n FROM orders) SELECT o_orderkey AS stack_row, CASE WHEN o_orderkey <= n THEN 'APredictor' ELSE 'Predictor' END AS predictor_block, CASE WHEN o_orderkey <= n THEN o_orderkey ELSE o_orderkey - n END AS output_index FROM orders, n")
