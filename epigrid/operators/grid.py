@@ -178,15 +178,18 @@ def stability(stack: DataFrame) -> DataFrame:
 
 def distribution_profile(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """(measure, by..., n, nonfinite, min, q01..q99, mean, max), by group and overall (by
-    null), over the unpivoted measures."""
+    null), over the unpivoted measures. The rows are read once, and counted by distinct value."""
+    from ..sources.tables import kept
     from .metrics import exact_quantiles
 
     long = df.unpivot(by, columns, "measure", "v").withColumn("ok", F.when(finite("v"), F.col("v").cast("double")))
+    long = kept(long.groupBy("measure", *by, "ok").agg(F.count(F.lit(1)).alias("c")), "profile")
     probs = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+    seen = F.coalesce(F.sum(F.when(F.col("ok").isNotNull(), F.col("c"))), F.lit(0))
     parts = []
     for keys in (["measure"], ["measure", *by]):
-        plain = long.groupBy(*keys).agg(F.count("ok").alias("n"), (F.count(F.lit(1)) - F.count("ok")).alias("nonfinite"), F.min("ok").alias("min"), F.avg("ok").alias("mean"), F.max("ok").alias("max"))
-        quantiles = exact_quantiles(long, "ok", probs, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+        plain = long.groupBy(*keys).agg(seen.alias("n"), (F.sum("c") - seen).alias("nonfinite"), F.min("ok").alias("min"), (F.sum(F.col("ok") * F.col("c")) / F.nullif(seen, F.lit(0))).alias("mean"), F.max("ok").alias("max"))
+        quantiles = exact_quantiles(long, "ok", probs, keys, "c").withColumnsRenamed({k: f"_{k}" for k in keys})
         both = plain.join(quantiles, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
         parts.append(both.select("measure", *[F.col(k) if k in keys else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in by], "n", "nonfinite", "min", *probs, "mean", "max"))
     return parts[0].unionByName(parts[1])

@@ -34,15 +34,15 @@ def cumulative_scores(df: DataFrame, score: str, weights: dict[str, Column]) ->
     return out.select(score, *weights, *[(F.col(f"{n}_before") + F.col(f"_{n}")).alias(f"{n}_before") for n in weights])
 
 
-def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(by..., name...): exact type 7 quantiles of the finite values of each group (a null is a
     group of its own), without a group's values ever meeting in one task: rows are first
     counted by distinct value, a group's values are dealt to ranges, and the ranges' totals
-    carried on."""
+    carried on. weight: a column of how often each row counts."""
     by = by or []
     v = F.col(value) if isinstance(value, str) else value
     key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(1))
-    counts = df.select(key.alias("_key"), v.cast("double").alias("_v")).where(finite("_v")).groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.select(key.alias("_key"), v.cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_w")).where(finite("_v")).groupBy("_key", "_v").agg(F.sum("_w").alias("_c"))
     splits = counts.groupBy("_key").agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_splits"))
     placed = counts.join(splits, "_key").withColumn("_range", F.size(F.filter("_splits", lambda s: s <= F.col("_v")))).drop("_splits")
     totals = placed.groupBy("_key", "_range").agg(F.sum("_c").alias("_t"))  # at most RANGES rows a group
