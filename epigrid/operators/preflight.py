@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
 from .gates import checks_from
+from .sets import by_key, dealt
 
 GATE = "preflight"
 WHOLE_TYPES = ("tinyint", "smallint", "int", "bigint")
 NUMBER_TYPES = (*WHOLE_TYPES, "float", "double")
 #: How far an index may be off a whole number, a row of a field's weights off 1, and the fewest bins of a curve.
 FRACTION, ROW_SUM, LEAST_BINS = 1.5e-8, 1e-10, 5
+#: Terms that go through together, a bit each, and matrix entries of a task.
+TERMS, ENTRIES = 60, 500_000
 
 
 @dataclass(frozen=True)
@@ -140,16 +143,31 @@ def term_metrics(stack: DataFrame, matrix: DataFrame, latent: DataFrame, terms:
     """(term, active_rows, unprojected_rows, finite_count, nonfinite_count, fractions, below,
     above, minimum, maximum, unique_count): of each term that latent has, over the latent values that
     its active rows reach, each value once; and how many active rows reach none."""
-    rows, used, terms = _used(stack, matrix, latent, terms)
+    have = {n.lower() for n in latent.columns}
+    terms = [t for t in terms if t.name.lower() in have]
+    if len(terms) > TERMS:
+        return reduce(lambda a, b: a.unionByName(b), [term_metrics(stack, matrix, latent, terms[k : k + TERMS]) for k in range(0, len(terms), TERMS)])
     spark = stack.sparkSession
     names = "term string, mask string, whole boolean, least int, most int, levels int, contiguous boolean"
     spec = spark.createDataFrame([(t.name, t.active, t.whole, t.least, t.most, t.levels, t.contiguous) for t in terms], names)
-    if used is None:
+    if not terms:
         return spec.select(*[c for c in names.replace(",", "").split() if c in spec.columns], *[F.lit(0).cast("long").alias(c) for c in ("active_rows", "unprojected_rows", "finite_count", "nonfinite_count", "fractions", "below", "above", "unique_count")], *[F.lit(None).cast("double").alias(c) for c in ("minimum", "maximum")])
-    active = rows.select(F.explode("masks").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("active_rows"))
-    reached = used.select("term", "row").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("reached"))
+    m = masks()
+    active = stack.select(F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in m.items()]))).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("active_rows"))
+    # A bit a term: an entry carries the terms that its row wants, a column those that it has. So an entry stays one row, whatever the terms.
+    bits = lambda of: reduce(lambda a, b: a.bitwiseOR(b), [F.when(of(t), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(terms)])
+    wanted = stack.select("row", bits(lambda t: m[t.active]).alias("wants")).where("wants <> 0")
+    entries = dealt(matrix.where("value <> 0").select("row", "column"), "row", rows=ENTRIES).join(by_key(wanted), "row")
+    held = latent.select("column", bits(lambda t: F.col(t.name).isNotNull()).alias("has"))
+    hits = entries.join(by_key(held), "column").groupBy("row").agg(F.bit_or(F.col("wants").bitwiseAND(F.col("has"))).alias("hit"))
+    each = F.array_compact(F.array(*[F.when(F.col("hit").bitwiseAND(F.lit(1 << k).cast("long")) != 0, t.name) for k, t in enumerate(terms)]))
+    reached = hits.select(F.explode(each).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("reached"))
     v, good = F.col("v"), finite("v")
-    values = used.groupBy("term", "column").agg(F.max("v").alias("v")).join(F.broadcast(spec.select("term", "least", "most")), "term")
+    asked = entries.groupBy("column").agg(F.bit_or("wants").alias("wants"))
+    bit_of = F.create_map(*[x for k, t in enumerate(terms) for x in (F.lit(t.name), F.lit(1 << k).cast("long"))])
+    reads = dealt(latent.select("column", *[F.col(t.name).cast("double").alias(t.name) for t in terms]), "column").join(by_key(asked), "column")
+    long = reads.unpivot(["column", "wants"], [t.name for t in terms], "term", "v").where(v.isNotNull() & (F.col("wants").bitwiseAND(bit_of[F.col("term")]) != 0))
+    values = long.groupBy("term", "column").agg(F.max("v").alias("v")).join(F.broadcast(spec.select("term", "least", "most")), "term")
     numbers = values.groupBy("term").agg(
         F.count(F.when(good, 1)).alias("finite_count"), F.count(F.when(~good, 1)).alias("nonfinite_count"), F.count(F.when(good & (F.abs(v - F.round(v)) > FRACTION), 1)).alias("fractions"),
         F.count(F.when(good & (v < F.col("least")), 1)).alias("below"), F.count(F.when(good & (v > F.col("most")), 1)).alias("above"),

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 from test_clipping import frame, square
 
-from epigrid.operators import clipping, mesh, metrics, predictor, sets, support
+from epigrid.operators import clipping, mesh, metrics, predictor, preflight, sets, support
 
 
 def _plan(df):
@@ -70,3 +70,16 @@ def test_quantiles_of_counted_values(spark):
     many = df.select(F.explode(F.array_repeat("v", F.col("c"))).alias("v"))
     probs = {"a": 0.1, "b": 0.5, "c_": 0.6}
     assert metrics.exact_quantiles(df, "v", probs, weight="c").collect() == metrics.exact_quantiles(many, "v", probs).collect()
+
+
+def test_terms_are_not_put_together_by_row_or_latent_column_of_entries(spark):
+    """An entry stays one row, whatever the terms; more terms than bits go in blocks."""
+    stack = spark.createDataFrame([(1, 1, 1.0, None, None), (2, 2, None, 3.0, 1.0)], "row long, link int, y1 double, y2 double, exposure double")
+    matrix = spark.createDataFrame([(1, 1, 1.0), (2, 2, 0.5), (2, 3, 0.0)], "row long, column long, value double")
+    names = [f"t{k}" for k in range(70)]
+    latent = spark.range(1, 4).select(F.col("id").alias("column"), *[(F.col("id") * 10 + k).cast("double").alias(n) for k, n in enumerate(names)])
+    out = preflight.term_metrics(stack, matrix, latent, preflight.fixed_terms(names))
+    assert not re.search(r"HashAggregate\(keys=\[term#\d+, row#", _plan(preflight.term_metrics(stack, matrix, latent, preflight.fixed_terms(names[:3]))))
+    got = {r.term: r for r in out.collect()}
+    assert len(got) == 70 and all((r.active_rows, r.unprojected_rows, r.finite_count) == (2, 0, 2) for r in got.values())
+    assert (got["t69"].minimum, got["t69"].maximum) == (79.0, 89.0)
