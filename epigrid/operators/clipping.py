@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import TOLERANCE, boxes, polygon_areas
-from .sets import DEALT, by_key
+from .sets import by_key, dealt
 
 #: Where the grid begins, in tiles: off the round numbers that corners tend to have.
 SHIFT = (-0.6180339887498949, -0.41421356237309515)
@@ -104,8 +104,8 @@ def inner_corners(crossings: DataFrame, size: float, first: int, last: int) -> D
     return spans.withColumn("i", F.explode(F.sequence("from", "to"))).where((corner > F.col("x")) & (corner <= F.col("until"))).select("poly", "i", "j")
 
 
-def tiles(edge: DataFrame, size: float, poly_id: str = "poly_id", columns: tuple[int, int] = (-(1 << 60), 1 << 60), tasks: int | None = None) -> DataFrame:
-    """(poly, i, j, pieces, crossings, corner): what each tile has of each polygon, over so many tasks."""
+def tiles(edge: DataFrame, size: float, poly_id: str = "poly_id", columns: tuple[int, int] = (-(1 << 60), 1 << 60)) -> DataFrame:
+    """(poly, i, j, pieces, crossings, corner): what each tile has of each polygon."""
     rising = _rising(edge, poly_id)
     crossings = row_crossings(rising, size)
     kind = "struct<x1:double,y1:double,x2:double,y2:double>"
@@ -114,7 +114,6 @@ def tiles(edge: DataFrame, size: float, poly_id: str = "poly_id", columns: tuple
     parts = parts.unionByName(crossings.select("poly", "i", "j", empty(kind).alias("piece"), "x", F.lit(False).alias("corner")))
     parts = parts.unionByName(inner_corners(crossings, size, *columns).select("poly", "i", "j", empty(kind).alias("piece"), empty("double").alias("x"), F.lit(True).alias("corner")))
     within = parts.where(F.col("i").between(*columns))
-    within = within.repartition(tasks, "poly", "i", "j") if tasks else within
     return within.groupBy("poly", "i", "j").agg(F.collect_list("piece").alias("pieces"), F.collect_list("x").alias("crossings"), F.max("corner").alias("corner"))
 
 
@@ -151,12 +150,11 @@ def overlay(a: DataFrame, b: DataFrame, size: float | None = None, a_id: str = "
     size = size or tile_size(a, a_id)
     ox, oy = (s * size for s in SHIFT)
     extent = a.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.count(F.lit(1))).first()
-    # An overlay is much work on few bytes, by which Spark would put its tasks together.
-    tasks = max(a.sparkSession.sparkContext.defaultParallelism, -(-extent[2] // DEALT))
     columns = (0, -1) if extent[0] is None else tuple(int((v - ox) // size) + d for v, d in zip(extent[:2], (-1, 1), strict=True))
-    left = tiles(a, size, a_id, columns, tasks).select(F.col("poly").alias("a"), "i", "j", F.col("pieces").alias("pa"), F.col("crossings").alias("ca"), F.col("corner").alias("ina"))
+    left = tiles(a, size, a_id, columns).select(F.col("poly").alias("a"), "i", "j", F.col("pieces").alias("pa"), F.col("crossings").alias("ca"), F.col("corner").alias("ina"))
     right = tiles(b, size, b_id, columns).select(F.col("poly").alias("b"), "i", "j", F.col("pieces").alias("pb"), F.col("crossings").alias("cb"), F.col("corner").alias("inb"))
-    both = left.join(right, ["i", "j"])
+    # What follows is much work on few bytes, by which Spark would put its tasks together.
+    both = dealt(left.join(right, ["i", "j"]), "a", "b", "i", "j", count=extent[2])
     meetings = F.flatten(F.transform("pa", lambda p: F.filter(F.transform("pb", lambda q: _meeting(p, q)), lambda x: x.isNotNull())))
     ends = [F.col(c)[k] for c in ("pa", "pb") for k in ("x1", "x2")]  # of all pieces
     sides = F.array(_line(F.col("i"), ox, size), _line(F.col("i") + 1, ox, size))
