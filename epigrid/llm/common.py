@@ -60,6 +60,20 @@ def lean(of):
     return batches_of
 
 
+#: What a Python worker gets at once where whole texts go by that need not meet: the JVM and the
+#: worker each hold a batch several times, and keep much of what they once held.
+SMALL_BATCHES = "2m"
+
+
+def few_rows(spark: SparkSession, columns: dict, schema: str) -> DataFrame:
+    """A table of a few rows that the driver knows, by column. It goes to the JVM as Arrow: rows of
+    Python objects would start a second set of Python workers wherever they are read."""
+    import pyarrow as pa
+
+    kinds = {f.name: {"integer": pa.int32(), "long": pa.int64()}[f.dataType.typeName()] for f in T._parse_datatype_string(schema).fields}
+    return spark.createDataFrame(pa.table({k: pa.array(columns[k], t) for k, t in kinds.items()}), schema)
+
+
 class Workspace:
     """Tables that cut lineage, written as Parquet in the shared folder.
 
@@ -67,8 +81,8 @@ class Workspace:
     one that the caller reads lazily, until the application ends.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        bounded_batches(spark)
+    def __init__(self, spark: SparkSession, label: str, most: str = "8m"):
+        bounded_batches(spark, most)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def _path(self, path: str):
@@ -150,7 +164,7 @@ def running_total(ws: Workspace, df: DataFrame, order: list, value: str, name: s
     for r in sorted(parts, key=lambda r: r["_pid"]):
         starts.append((r["_pid"], at))
         at += r["_sum"]
-    offsets = ws.spark.createDataFrame(starts, "_pid int, _start long")
+    offsets = few_rows(ws.spark, {"_pid": [p for p, _ in starts], "_start": [s for _, s in starts]}, "_pid int, _start long")
     return held.join(F.broadcast(offsets), "_pid").withColumn("before", F.col("_local") + F.col("_start")).drop("_pid", "_local", "_start")
 
 

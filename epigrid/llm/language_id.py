@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Apart, Workspace, blocks, bounded_batches, lean
+from .common import SMALL_BATCHES, Apart, Workspace, blocks, bounded_batches, lean
 
 UNDETERMINED = "und"
 CORE, WARM = 96, 16  # positions that a window labels, and bytes before and after that it only reads
@@ -249,7 +249,7 @@ def identify_languages(docs: DataFrame, known: Languages) -> DataFrame:
             names_out = [*batch.schema.names, "lang_pred", "score"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names_array[pred], pa.string()), pa.array(np.clip(score, 0, 1))], names=names_out)
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SMALL_BATCHES)
     kept = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(lean(predict), f"{schema}, lang_pred string, score double")

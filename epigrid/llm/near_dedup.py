@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Apart, Workspace, as_bytes, blocks, lean, shingle_hashes, word_hashes
+from .common import SMALL_BATCHES, Apart, Workspace, as_bytes, blocks, few_rows, lean, shingle_hashes, word_hashes
 
 HASH_BYTES = 6  # of each shingle's hash, in the sets on which links are confirmed
 SAMPLE, COMMON = 10_000, 500_000  # documents that tell which shingles are common, and how many such shingles are sent
@@ -89,7 +89,7 @@ class Forest:
 
 def shingle_sets(texts: list[bytes], width: int):
     """The texts' sets of hashed word shingles, in turn."""
-    for lo, hi in blocks(texts):
+    for lo, hi in blocks(texts, 1 << 18):
         h, at = word_hashes(texts[lo:hi])
         for i in range(hi - lo):
             yield shingle_hashes(h[at[i] : at[i + 1]], width)
@@ -466,12 +466,12 @@ def _decided(docs: DataFrame, width: int, percent: int, forest: Forest | None, s
     """``near_duplicates`` with text_key, and component, null for rows that link with nothing."""
     spark, forest = docs.sparkSession, forest or Forest()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with Workspace(spark, "near") as ws:
+    with Workspace(spark, "near", SMALL_BATCHES) as ws:
         signed = ws.table(_signed(docs, width, forest), "signed")
         whole = signed.where("set_id is not null and doc_id is not null")
         reps = whole.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
         reps = ws.table(reps, "reps")
-        links, part = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
+        links, part = few_rows(spark, {"a": [], "b": []}, "a long, b long"), few_rows(spark, {"id": [], "component": []}, "id long, component long")
         links, part = _settled(ws, docs, reps, width, percent, strongest, _candidates(ws, reps, forest, percent), links, part, "forest")
         prefixes = _prefixes(docs.where("doc_id is not null"), signed.count(), width, percent)
         _, part = _settled(ws, docs, reps, width, percent, strongest, _apart(ws, prefixes, reps, part, forest, percent), links, part, "exact")
@@ -510,7 +510,7 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     Rows go by doc_id and text together, so a text stays that has nothing to do with
     another text of its doc_id. Rows without words or doc_id link with nothing and stay.
     """
-    ws = Workspace(docs.sparkSession, "gone")
+    ws = Workspace(docs.sparkSession, "gone", SMALL_BATCHES)
     key = ["doc_id", "text_key"]
     rows = _decided(docs, width, percent, forest, strongest).where("component is not null and doc_id is not null")
     texts = ws.table(rows.groupBy(*key, "component", "kept").agg(F.count(F.lit(1)).alias("n")), "texts")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import SMALL_BATCHES, Workspace, few_rows, lean
 from .tokens import token_ids
 
 RANKED = 200_000  # pieces of one length that are ranked in one group
@@ -207,7 +207,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, groups: int = 400) -> DataFrame:
@@ -219,13 +219,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     ``capacity``. Empty docs: no rows.
     """
     spark = docs.sparkSession
-    with Workspace(spark, "packing") as ws:
+    with Workspace(spark, "packing", SMALL_BATCHES) as ws:
         pieces = ws.table(tokenized_pieces(docs, vocabulary, capacity, end_id), "pieces")
         counts = np.zeros(capacity + 1, np.int64)
         for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most capacity rows
             counts[r["length"]] = r["n"]
         # A length is ranked in as many groups as it has pieces for, so none of them grows.
-        salts = spark.createDataFrame([(int(x), int(-(-counts[x] // RANKED))) for x in np.flatnonzero(counts)], "length long, salts long")
+        lengths = np.flatnonzero(counts)
+        salts = few_rows(spark, {"length": lengths, "salts": -(-counts[lengths] // RANKED)}, "length long, salts long")
         salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
         share = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
         before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
@@ -255,4 +256,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
 
         kind = docs.schema["doc_id"].dataType.simpleString()
         schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-        return ws.result(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(find, schema))
+        return ws.result(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(find), schema))
