@@ -74,6 +74,12 @@ def few_rows(spark: SparkSession, columns: dict, schema: str) -> DataFrame:
     return spark.createDataFrame(pa.table({k: pa.array(columns[k], t) for k, t in kinds.items()}), schema)
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, 16 bytes of the text's hash; null texts become empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("text_key"))
+
+
 class Workspace:
     """Tables that cut lineage, written as Parquet in the shared folder.
 
@@ -232,6 +238,20 @@ def blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]
         yield lo, len(texts)
 
 
+def least_in_windows(gram: np.ndarray, w: int) -> np.ndarray:
+    """Where the least of each ``w`` hashes in a row is. The upper half of the hash decides,
+    then the place: alike for equal strings anywhere."""
+    bits = np.uint64(32)
+    least = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
+    size = 1
+    while 2 * size <= w:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if w > size:
+        least = np.minimum(least[: len(least) - (w - size)], least[w - size :])
+    return (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``width`` words; fewer words make one."""
     n = len(words)

@@ -104,9 +104,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    cut = remove_repeats(_docs(spark, sf_dir), width=400)
+    cut = remove_repeats(_docs(spark, sf_dir), width=400, words=50)
     kept = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut may fall within a character
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), kept.alias("kept_text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), kept.alias("kept_text"), "n_passage_words", "n_passages")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

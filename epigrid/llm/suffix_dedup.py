@@ -21,7 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_bytes, blocks, mix, powers
+from .common import Workspace, as_bytes, blocks, keyed_texts, least_in_windows, mix, powers
+from .passages import repeated_passages
 
 BLOCK = 1 << 20  # bytes of one transform, more or less
 HOT = 1 << 20  # bytes of one minimizer's runs, from which on they are dealt over several tasks
@@ -129,15 +130,7 @@ def minimizer_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     up, down = powers(n + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n])))
     gram = mix((total[k:] - total[:-k]) * down[: n - k + 1])
-    # The upper half of the hash decides, then the place: alike for equal strings anywhere.
-    bits = np.uint64(32)
-    least = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
-    size = 1
-    while 2 * size <= w:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if w > size:
-        least = np.minimum(least[: len(least) - (w - size)], least[w - size :])
+    least = least_in_windows(gram, w)
     lengths = np.array([len(t) for t in texts])
     ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
@@ -145,7 +138,7 @@ def minimizer_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     if not len(start):
         return tuple(np.empty(0, t) for t in (np.uint64, *[np.int64] * 5))
     owner = owner[start]
-    place = (least[start] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    place = least[start]
     value = gram[place]
     new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))
     first = np.flatnonzero(new)
@@ -160,12 +153,6 @@ def stretches(texts: list[bytes], width: int, long: int) -> tuple[list[int], lis
     return [list(x) for x in zip(*out, strict=True)] if out else [[], [], []]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and text_key, 16 bytes of the text's hash; null texts become empty."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("text_key"))
-
-
 def _runs(docs: DataFrame, width: int) -> DataFrame:
     """A row a document (value null, count its bytes), and one a run of starts."""
     long = LONG
@@ -188,7 +175,7 @@ def _runs(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(value.view(np.int64)), *map(pa.array, (start + base[lo:hi][owner], count, places, place - start))], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(scan, f"doc_id {kind}, text_key binary, value long, start long, count long, places long, place long")
+    return keyed_texts(docs).mapInArrow(scan, f"doc_id {kind}, text_key binary, value long, start long, count long, places long, place long")
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +288,7 @@ def equal_starts(packed: list[bytes]) -> list[tuple]:
     return [(k, np.array(v), np.array(v) + 1) for k, v in by.items()]
 
 
-def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 400, words: int | None = None) -> DataFrame:
     """Texts without the bytes of strings of ``width`` bytes that start more than once.
 
     docs: doc_id, text (as UTF-8 bytes; null: empty). Every byte covered by such a string
@@ -309,6 +296,10 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     not cross documents, and are judged on the input. Returns a row a row of docs: doc_id,
     n_bytes, n_removed, n_spans (maximal removed runs), kept (binary). Equal texts are
     solved once; texts shorter than ``width`` lose nothing. Other columns are ignored.
+
+    With ``words``, passages of so many words that stand in another row too are counted
+    beside it, whatever their bytes, and stay in the text: n_passage_words (words that they
+    cover) and n_passages (maximal runs) follow.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "repeats")
@@ -325,7 +316,7 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         hits = runs.join(values, "value").groupBy("text_key").agg(F.collect_set(F.struct("value", "start", "count", "places", "place", "split")).alias("hits"))
         hits = ws.table(hits.join(texts, "text_key").select("first_id", F.col("text_key").alias("of_key"), "hits"), "hits")
         ws.drop("runs")
-        keyed = _keyed(docs)
+        keyed = keyed_texts(docs)
         found = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("of_key"))).select("text", "text_key", "hits")
 
         def emit(batches):
@@ -411,8 +402,12 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         spans = pieces.select("piece_key", "text_key", "start").join(spans, "piece_key")
         spans = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "begins", "ends")).alias("spans"))
         known = texts.where("copies > 1").select("text_key", "copies").join(spans, "text_key", "full")
-        known = ws.result(known.select(F.col("text_key").alias("of_key"), F.coalesce("copies", F.lit(1)).alias("copies"), "spans"))
-        owned = keyed.join(known, F.col("text_key") == F.col("of_key"), "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
+        counted = ["n_passage_words", "n_passages"] if words else []
+        if words:
+            known = known.join(repeated_passages(ws, docs, words), "text_key", "full")
+        known = ws.result(known.select(F.col("text_key").alias("of_key"), F.coalesce("copies", F.lit(1)).alias("copies"), "spans", *counted))
+        counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counted]
+        owned = keyed.join(known, F.col("text_key") == F.col("of_key"), "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans", *counts)
 
         def cut(batches):
             import pyarrow as pa
@@ -430,7 +425,7 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                     n_bytes.append(len(text)), removed.append(int(flags.sum())), n_spans.append(len(_spans(flags)[0]))
                     kept.append(np.frombuffer(text, np.uint8)[~flags].tobytes() if flags.any() else text)
                 arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, n_spans)), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *counted])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        return owned.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+        return owned.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", {c} long" for c in counted))
