@@ -3,8 +3,8 @@
 Where a string of ``words`` words stands in two texts, both have the same minimizer there
 (the least hash of the k-word grams inside). Starts in a row with one minimizer make a
 run; only runs whose minimizer stands in another text too are looked at again. Their
-strings meet by minimizer, as 64-bit hashes in packed rows; minimizers with many are dealt
-over several tasks by buckets of the hash.
+strings meet by minimizer, as 64-bit hashes in packed rows. The strings of a minimizer
+with many are grouped one by one instead, and summed before they meet.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from .common import Workspace, as_bytes, blocks, keyed_texts, least_in_windows,
 
 GRAM = 16  # words of a minimizer's gram, at most
 BLOCK = 1 << 18  # strings compared at once, more or less
-HOT = 1 << 16  # strings of one minimizer, from which on they are dealt over several tasks
+HOT = 1 << 14  # strings of one minimizer, beyond which they do not meet in one task
 
 
 def _strings(total: np.ndarray, width: int) -> np.ndarray:
@@ -94,32 +94,38 @@ def repeated_passages(ws: Workspace, docs: DataFrame, words: int = 50) -> DataFr
     runs = scanned.where("value is not null").select("text_key", "value", "start", "count")
     of = F.xxhash64("text_key")
     values = runs.select("value", "count", of.alias("of")).groupBy("value").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.sum("count").alias("strings"))
-    values = values.where("a <> b").select("value", F.ceil(F.col("strings") / HOT).cast("int").alias("split"))
+    values = values.where("a <> b").select("value", (F.col("strings") > HOT).alias("hot"))
     # Texts that several rows have are passages as a whole, but are still what others share.
-    hits = runs.join(values, "value").groupBy("text_key").agg(F.collect_set(F.struct("value", "start", "count", "split")).alias("hits"))
+    hits = runs.join(values, "value").groupBy("text_key").agg(F.collect_set(F.struct("value", "start", "count", "hot")).alias("hits"))
     hits = hits.join(texts, "text_key").select("first_id", F.col("text_key").alias("of_key"), "hits")
     found = keyed_texts(docs).join(hits, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("of_key"))).select("text", "text_key", "hits")
 
     def emit(batches):
         import pyarrow as pa
 
-        kinds = {"value": pa.int64(), "salt": pa.int32(), "text_key": pa.binary(), "starts": pa.binary(), "strings": pa.binary()}
+        kinds = {"value": pa.int64(), "text_key": pa.binary(), "start": pa.int64(), "strings": pa.binary(), "string": pa.int64()}
         for batch in batches:
-            texts, keys, spans = as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2)
+            texts, keys, spans = as_bytes(batch.column(0)), batch.column(1), batch.column(2)
             for lo, hi in blocks(texts):
                 h, at = word_hashes(texts[lo:hi])
-                strings, rows = _strings(_running(h), words), []
+                strings, rows, hot = _strings(_running(h), words), [], []
                 for i, s in enumerate(spans.slice(lo, hi - lo).to_pylist()):
                     for x in s:
-                        start = np.arange(x["start"], x["start"] + x["count"])
-                        own = strings[start + at[i]]
-                        salt = own % np.uint64(x["split"])
-                        for b, some in [(0, slice(None))] if x["split"] == 1 else [(int(b), salt == b) for b in np.unique(salt)]:
-                            rows.append((x["value"], b, keys[lo + i], start[some].tobytes(), own[some].tobytes()))
+                        if x["hot"]:
+                            hot.append((i, x["start"], x["count"]))
+                        else:
+                            begin = at[i] + x["start"]
+                            rows.append((x["value"], keys[lo + i].as_py(), x["start"], strings[begin : begin + x["count"]].tobytes(), None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                if hot:
+                    i, first, count = np.array(hot).T
+                    start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    i = np.repeat(i, count)
+                    none = [pa.nulls(len(i), kinds[c]) for c in ("value", "strings")]
+                    yield pa.RecordBatch.from_arrays([none[0], keys.take(pa.array(lo + i)), pa.array(start), none[1], pa.array(strings[at[i] + start].view(np.int64))], names=list(kinds))
 
-    met = found.mapInArrow(emit, "value long, salt int, text_key binary, starts binary, strings binary").repartition("value", "salt").sortWithinPartitions("value", "salt")
+    met = ws.table(found.mapInArrow(emit, "value long, text_key binary, start long, strings binary, string long"), "passage-strings")
 
     def compare(batches):
         import pyarrow as pa
@@ -128,9 +134,9 @@ def repeated_passages(ws: Workspace, docs: DataFrame, words: int = 50) -> DataFr
 
         def shared():
             keys = {}
-            sizes = [len(r[2]) // 8 for r in rows]
+            sizes = np.array([len(r[2]) // 8 for r in rows], np.int64)
             text = np.repeat(np.array([keys.setdefault(r[0], len(keys)) for r in rows], np.int64), sizes)
-            start = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
+            start = np.repeat(np.array([r[1] for r in rows], np.int64) - np.cumsum(sizes) + sizes, sizes) + np.arange(len(text))
             again = in_other_texts(text, np.frombuffer(b"".join(r[2] for r in rows), np.uint64)) if rows else np.empty(0, bool)
             text, start = text[again], start[again]
             order = np.argsort(text, kind="stable")
@@ -141,16 +147,20 @@ def repeated_passages(ws: Workspace, docs: DataFrame, words: int = 50) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array([names[t] for t in text[first]], pa.binary()), starts], names=["text_key", "starts"])
 
         for batch in batches:
-            for value, salt, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (value, salt) != last and size > BLOCK:
+            for value, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if value != last and size > BLOCK:
                     yield shared()
                     rows, size = [], 0
-                last = (value, salt)
+                last = value
                 rows.append(row)
                 size += len(row[2]) // 8
         yield shared()
 
-    starts = met.mapInArrow(compare, "text_key binary, starts array<bigint>").groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("s"))
+    few = met.where("string is null").select("value", "text_key", "start", "strings").repartition("value").sortWithinPartitions("value")
+    many = met.where("string is not null").select("text_key", "start", "string")
+    again = many.select("string", of.alias("of")).groupBy("string").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("string")
+    late = many.join(again, "string", "left_semi").groupBy("text_key").agg(F.collect_list("start").alias("starts"))
+    starts = few.mapInArrow(compare, "text_key binary, starts array<bigint>").unionByName(late).groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("s"))
     steps = F.zip_with(F.slice("s", 2, F.size("s")), F.slice("s", 1, F.size("s") - 1), lambda b, a: b - a)
     starts = starts.select("text_key", "s", steps.alias("steps"))
     covered = F.aggregate("steps", F.lit(words).cast("long"), lambda total, d: total + F.least(d, F.lit(words).cast("long")))

@@ -40,7 +40,7 @@ def row(i, text):
 @pytest.mark.parametrize(("hot", "block"), [(1 << 16, 1 << 18), (4, 1 << 18), (1 << 16, 1), (4, 1)])
 @pytest.mark.parametrize("words", [1, 2, 7, 50])
 def test_passages_against_counting(spark, monkeypatch, hot, block, words):
-    monkeypatch.setattr(passages, "HOT", hot)  # 4: the strings of most minimizers are dealt over tasks
+    monkeypatch.setattr(passages, "HOT", hot)  # 4: the strings of most minimizers are grouped one by one
     monkeypatch.setattr(passages, "BLOCK", block)
     rng = random.Random(words)
     base = [f"w{rng.randrange(40)}" for _ in range(200)]
